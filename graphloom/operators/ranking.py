@@ -55,12 +55,13 @@ def positions(df: DataFrame, group: str, item: str, scores: list[str], hot_rows:
         cols += [F.col(s), pos.cast("long").alias(f"{s}_pos"), F.count(s).over(whole).alias(f"{s}_n")]
     ranked = ranked.select(*cols)
     if some_hot:
-        wide = hot
+        # A key that is never null takes the group's place in the joins.
+        wide = hot.withColumn("_gk", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("null")))
+        keyed = wide
         for s in scores:
-            p = _hot_positions(hot, group, s, bands).select(F.col(group).alias("_g"), F.col(s).alias("_s"), F.col("pos").alias(f"{s}_pos"), F.col("n").alias("_n"))
-            n = hot.groupBy(group).agg(F.count(s).alias(f"{s}_n")).select(F.col(group).alias("_g2"), f"{s}_n")
-            wide = wide.join(p.drop("_n"), F.col(group).eqNullSafe(F.col("_g")) & (F.col(s) == F.col("_s")), "left").drop("_g", "_s")
-            wide = wide.join(n, F.col(group).eqNullSafe(F.col("_g2"))).drop("_g2")
+            p = _hot_positions(keyed, "_gk", s, bands).select("_gk", s, F.col("pos").alias(f"{s}_pos"))
+            n = keyed.groupBy("_gk").agg(F.count(s).alias(f"{s}_n"))
+            wide = wide.join(p, ["_gk", s], "left").join(n, "_gk")
         ranked = ranked.unionByName(wide.select(*ranked.columns))
     return ranked
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import encode_texts
 from graphloom.llm.leakage import contaminated, leaked_spans
+from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
 from graphloom.llm.spans import MIN_CHARS, shared_spans, shared_amount
 from graphloom.llm.terms import characteristic_terms, residual_idf
 from graphloom.sources.tables import read_table
@@ -22,6 +23,19 @@ def p4_term_weights(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", "cf", F.round("ridf", 6).alias("ridf"))
 
 
+def _scoped_texts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = text_rows(read_table(spark, d, "chunks"), F.lit("chunks"), "chunk_id", "text", 20)
+    return chunks.unionByName(text_rows(read_table(spark, d, "retrieval_results"), F.col("query_id"), "chunk_id", "text", 20))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(_scoped_texts(spark, d), 3, 0.5)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return similar_groups(_scoped_texts(spark, d), 3, 0.5).select("scope", F.col("key").alias("chunk_id"), F.col("class_id"), "copies", "links")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
 
@@ -49,6 +63,8 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found,
     "p4_term_weights": p4_term_weights,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_removed_documents": p9_removed_documents,
@@ -66,6 +82,14 @@ n as (select count(*)::double n from once)
 ORACLES = {
     "p4_found": _TERMS + "select chunk_id, term from counts join stats using (term) where tf >= 3 and df <= 5",
     "p4_term_weights": _TERMS + "select chunk_id, term, tf, df, cf, round(-log2(df / n) + log2(1 - exp(-cf / n)), 6) ridf from counts join stats using (term), n",
+    "p5_found": """
+with t as (select 'chunks' scope, chunk_id k, text from chunks union select query_id, chunk_id, text from retrieval_results),
+w as (select distinct scope, k, regexp_extract_all(lower(text), '[a-z0-9]+') w from t where text is not null),
+x as (select row_number() over () id, scope, k, w from w where len(w) >= 20),
+s as (select distinct id, scope, k, array_to_string(w[i:i+2], ' ') s from (select id, scope, k, w, unnest(range(1, len(w) - 1)) i from x)),
+n as (select id, count(*) n from s group by 1),
+p as (select a.scope, a.id ia, b.id ib, a.k key_a, b.k key_b, count(*) c from s a join s b on a.scope = b.scope and a.s = b.s and a.k < b.k group by all)
+select distinct scope, key_a, key_b from p join n na on na.id = ia join n nb on nb.id = ib where c >= 0.5 * (na.n + nb.n - c)""",
     "p9_found": """
 with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null),
 g as (select distinct doc_id, array_to_string(w[i:i+9], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) i from w)),

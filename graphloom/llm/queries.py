@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 from graphloom.llm.encoding import encode_texts
 from graphloom.llm.leakage import contaminated, leaked_spans
 from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
+from graphloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from graphloom.llm.spans import MIN_CHARS, shared_spans, shared_amount
 from graphloom.llm.terms import characteristic_terms, residual_idf
 from graphloom.sources.tables import read_table
 
 
+COLLECTIONS = [("chunks", "chunk_id", "embedding"), ("community_summaries", "community_id", "summary_embedding")]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for name, key, vector in COLLECTIONS:
+        near = nearest_neighbours(read_table(spark, d, name), key, vector, 64)
+        own = neighbour_pairs(near).select(F.lit(name).alias("collection"), "id_a", "id_b")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scored = residual_idf(read_table(spark, d, "chunks"), "chunk_id", "text", letters=9)
     return characteristic_terms(scored).select(F.col("id").alias("chunk_id"), "term")
@@ -61,6 +74,7 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p4_found": p4_found,
     "p4_term_weights": p4_term_weights,
     "p5_found": p5_found,

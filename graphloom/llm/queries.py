@@ -10,6 +10,7 @@ from graphloom.llm.leakage import contaminated, leaked_spans
 from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
 from graphloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from graphloom.llm.spans import MIN_CHARS, shared_spans, shared_amount
+from graphloom.llm.template import clean_pages, equivalence_classes, page_blocks
 from graphloom.llm.terms import characteristic_terms, residual_idf
 from graphloom.sources.tables import read_table
 
@@ -49,6 +50,22 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return similar_groups(_scoped_texts(spark, d), 3, 0.5).select("scope", F.col("key").alias("chunk_id"), F.col("class_id"), "copies", "links")
 
 
+_PAGE = ("id", "source_path", "raw_content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    blocks = page_blocks(read_table(spark, d, "source_documents"), *_PAGE)
+    return blocks.where("kind <> 'text'").select("id", "kind", "element").distinct()
+
+
+def p6_clean_text(spark: SparkSession, d: str) -> DataFrame:
+    return clean_pages(read_table(spark, d, "source_documents"), *_PAGE)
+
+
+def p6_template_classes(spark: SparkSession, d: str) -> DataFrame:
+    return equivalence_classes(read_table(spark, d, "source_documents"), *_PAGE)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
 
@@ -79,6 +96,9 @@ QUERIES = {
     "p4_term_weights": p4_term_weights,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_clean_text": p6_clean_text,
+    "p6_template_classes": p6_template_classes,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_removed_documents": p9_removed_documents,

@@ -7,7 +7,9 @@ setting is absent (tests, single machine).
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,36 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut through reliable storage; survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+_STAGED: list[tuple[SparkSession, str]] = []
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written to a table in the checkpoint folder and read again.
+
+    For loops: unlike a checkpoint, the table's size estimate starts afresh, so
+    it does not multiply with every join of every round. The tables are removed
+    when the process ends.
+    """
+    spark = df.sparkSession
+    if not _STAGED:
+        atexit.register(_remove_staged)
+    path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_staged() -> None:
+    try:
+        while _STAGED:
+            _remove(*_STAGED.pop())
+    except Exception:  # the session is gone, and with it the way to the folder
+        pass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import encode_texts
 from graphloom.llm.leakage import contaminated, leaked_spans
+from graphloom.llm.names import identities, name_pairs
 from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
 from graphloom.llm.neighbours import nearest_neighbours, neighbour_pairs
 from graphloom.llm.spans import MIN_CHARS, shared_spans, shared_amount
@@ -27,6 +28,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _identities(spark: SparkSession, d: str) -> DataFrame:
+    return identities(read_table(spark, d, "entities"), read_table(spark, d, "nicknames"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_pairs(_identities(spark, d))
+
+
+def p3_identities(spark: SparkSession, d: str) -> DataFrame:
+    return _identities(spark, d).select(F.col("id").alias("entity_id"), "identity")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     scored = residual_idf(read_table(spark, d, "chunks"), "chunk_id", "text", letters=9)
     return characteristic_terms(scored).select(F.col("id").alias("chunk_id"), "term")
@@ -92,6 +105,8 @@ def p10_spans(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p3_identities": p3_identities,
     "p4_found": p4_found,
     "p4_term_weights": p4_term_weights,
     "p5_found": p5_found,

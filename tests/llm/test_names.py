@@ -1,0 +1,52 @@
+from graphloom.llm.names import Reading, alike, components, distance, drops, identities, name_pairs
+
+SAME = {
+    "ann": ["Antonia Berglindqvist", " BERGLINDQVIST, Antonia", "Dr. Antonia B. Berglindqvist", "Antonia Berglindqvist, PhD", "Toni Berglindqvist", "A. Berglindqvist", "Antonía  Berglìndqvist", "Antonia Bergl1ndqvist", "antonia.berglindqvist", "Antonia Bergilndqvsit", "Prof. Berglindqvist", "aberglindqvist", "Antonia Berg-Lindqvist"],
+    "rob": ["Robert Berglandsson", "Bob Berglandsson"],
+    "carl": ["Carl Oberhauser"],
+    "dora": ["Dora Oberhauser"],
+    "mus": ["Kelvatun Museum of Zoology", "The Kelvatun Museum of Zoology", "Kelvatun Mus. of Zool.", "KELVATUN ZOOLOGY MUSEUM", "Kelvatun MZ", "Kelvtaun Museum for Zoology", "Museum of Zoology, Kelvatun", "Kelvatun"],
+    "com": ["Norvagen Steel & Optics Ltd", "Norvagen Steel and Optics Limited", "Norvagen Ste. & Optics", "NORVAGEN STEEL & OPTICS LTD "],
+    "gen": ["Norvagen Steel & Botany Ltd"],
+    "col": ["Hodtadad College of Logistics"],
+    "lin": ["Hodtadad College of Linguistics"],
+}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "entity_id string, name string, canonical_name string, entity_type string, key string, label string")
+
+
+def test_variants_are_linked_and_lookalikes_are_not(spark):
+    rows = [(f"{g}{i}", n, None, "PERSON" if g in ("ann", "rob", "carl", "dora") else "Organization", "x", "y") for g, names in SAME.items() for i, n in enumerate(names)]
+    rows += [("weak", "Oberhauser", None, "PERSON", "x", "y"), ("clean", "D. Oberhauser", "Dora Oberhauser", None, "x", "y")]
+    rows += [(f"lake{i}", n, None, "LOCATION", "x", "y") for i, n in enumerate(["Lake Dagamam", "Lake Dagaman", "LAKE DAGAMAM", "Lake Vulelum", "Dagamam vessel 2", "Dagamam vessel 3"])]
+    rows += [("n1", None, None, None, None, None), ("n2", "", " ", None, None, None), (None, "Carl Oberhauser", None, None, None, None), ("x" * 50, "word " * 4000, None, "PERSON", None, None), rows[0]]
+    nick = spark.createDataFrame([("Toni", "Antonia"), ("Toni", "Anton"), ("Bob", "Robert"), (None, "X"), ("Y", None)], "nickname string, given_name string")
+    got = {tuple(r) for r in name_pairs(identities(frame(spark, rows), nick)).collect()}
+    groups = [[f"{g}{i}" for i in range(len(names))] for g, names in SAME.items()]
+    groups[3].append("clean")
+    want = {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
+    assert got == want
+
+
+def test_empty_tables(spark):
+    nick = spark.createDataFrame([], "nickname string, given_name string")
+    assert name_pairs(identities(frame(spark, []), nick)).count() == 0
+
+
+def test_words_and_readings():
+    assert distance("abcd", "abdc") == 1 and distance("abcd", "xycd") == 2 and distance("a", "abcd") == 3
+    assert alike("mokiven", "mokiveri") and alike("berglind", "bergilnd") and not alike("carl", "dora") and not alike("abc", "abd")
+    for a, b in (("abcdefgh", "abdcefxh"), ("abcd", "abxd"), ("abcd", "abc")):
+        assert drops(a) & drops(b)
+    assert Reading("Nidkulguh, Fikuke L.").key == Reading("Fikuke Nidkulguh").key == "p|fikuke|nidkulguh"
+    assert Reading("Zimzudad Paper. Logis.").key == Reading("Zimzudad Paper & Logistics S.A.").key
+    assert Reading("V.\xa0Hitlumvav").key == "i|v|hitlumvav" and Reading("Tememoh estimate 2").layer == -1
+
+
+def test_components_of_a_long_chain(spark):
+    n = 70
+    edges = spark.createDataFrame([(f"{(i * 37) % n:03d}", f"{((i + 1) * 37) % n:03d}") for i in range(n - 1)] + [("x", "y"), ("z", "z")], "a string, b string")
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert {got[f"{i:03d}"] for i in range(n)} == {"000"} and got["y"] == "x" and got["z"] == "z"

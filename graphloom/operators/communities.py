@@ -31,7 +31,7 @@ def label_propagation(graph: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    heard = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("w"))
+    heard = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
     best = heard.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"), F.max("w").alias("w"))
     own = labels.join(heard.withColumnRenamed("w", "own_w"), ["node", "label"], "left")
     chosen = own.join(best, "node", "left")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.config import DEFAULTS, Settings
 from graphloom.functions.text import malformed_ratio, whitespace_density
@@ -27,7 +28,7 @@ def _repetition(text: str) -> float:
     return float(counts.max() / counts.sum())
 
 
-@F.pandas_udf("struct<repetition:double,entropy:double>")
+@F.pandas_udf(T.StructType([T.StructField("repetition", T.DoubleType()), T.StructField("entropy", T.DoubleType())]))
 def _characters(texts: pd.Series) -> pd.DataFrame:
     known = texts.fillna("")
     return pd.DataFrame({"repetition": known.map(_repetition), "entropy": known.map(_entropy)})

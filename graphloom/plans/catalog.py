@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import data_quality
+from graphloom.plans import data_quality, retrieval_queries
 
-_MODULES = [data_quality]
+_MODULES = [data_quality, retrieval_queries]
 
 
 def queries() -> dict:

@@ -417,7 +417,7 @@ ORACLES = {
     "documents_without_chunks": f"with {_SRC} select id from src where id not in (select source_document_id from chunks where source_document_id is not null)",
     "chunk_outputs": """with x as (select *, regexp_extract(replace(coalesce(metadata['source'], ''), chr(92), '/'), '([^/]+)/*$', 1) f from retrieval_results)
  select distinct query_id, chunk_id "chunkId", case when f <> '' then f else 'Unknown' end "source", """
-    + ", ".join(f"round(coalesce(case when isnan({c}) then null else {c} end, 0), 4) \"{n}\"" for c, n in (("vector_score", "vectorScore"), ("bm25_score", "bm25Score"), ("fused_score", "fusedScore")))
+    + ", ".join(f"round(coalesce(case when isnan({c}) then null else {c} end, 0)::varchar::decimal(38, 15), 4)::double \"{n}\"" for c, n in (("vector_score", "vectorScore"), ("bm25_score", "bm25Score"), ("fused_score", "fusedScore")))
     + ', vector_rank "vectorRank", bm25_rank "bm25Rank" from x',
     "chunks_of_documents": "select source_document_id, count(*) chunks, max(chunk_index) last_index from (select *, row_number() over (partition by chunk_id order by ingested_at desc) rn from chunks where chunk_id is not null) where rn = 1 group by 1",
     "entities_by_search_names": f"with {_ENT} select entity_id, name from ent where lower(name) in (select lower(canonical_name) from ent where canonical_name is not null)",

@@ -8,8 +8,10 @@ setting is absent (tests, single machine).
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,3 +80,20 @@ def _remove_staged() -> None:
             _remove(*_STAGED.pop())
     except Exception:  # the session is gone, and with it the way to the folder
         pass
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, once per context, wherever the driver found it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graphloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(home):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("graphloom", os.path.relpath(full, home)))
+    sc.addPyFile(archive)
+    sc._graphloom_shipped = True

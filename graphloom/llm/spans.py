@@ -17,7 +17,8 @@ among those expanded. A group of copies becomes one row per segment before
 anything is shuffled twice.
 
 Null ids and null texts are ignored; texts shorter than the span share
-nothing; rows repeating an id count as one record.
+nothing; rows repeating an id count as one record, and if their texts differ
+each text is looked at by itself and the amounts add up.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def segments(text: str, chars: int) -> tuple[np.ndarray, ...]:
 
 
 def _segment_rows(docs: DataFrame, chars: int) -> DataFrame:
-    """(id, first, last, anchor, seg) of all records."""
+    """(id, tid, first, last, anchor, seg) of all records; tid is the hash of the text."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +111,13 @@ def _segment_rows(docs: DataFrame, chars: int) -> DataFrame:
                     held += len(t)
                 if held > SLICE_CHARS or parts and i == b.num_rows - 1:
                     cols = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *cols], ["id", "first", "last", "anchor", "seg"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(own := pa.array(np.concatenate(ids))), b.column(2).take(own), *cols], ["id", "tid", "first", "last", "anchor", "seg"])
                     ids, parts, held = [], [], 0
             if parts:
                 cols = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(ids))), *cols], ["id", "first", "last", "anchor", "seg"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own := pa.array(np.concatenate(ids))), b.column(2).take(own), *cols], ["id", "tid", "first", "last", "anchor", "seg"])
 
-    return docs.mapInArrow(run, f"id {id_type}, first long, last long, anchor long, seg long")
+    return docs.mapInArrow(run, f"id {id_type}, tid long, first long, last long, anchor long, seg long")
 
 
 def _window_rows(docs: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
@@ -137,35 +138,35 @@ def _window_rows(docs: DataFrame, wanted: DataFrame, chars: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(seg), pa.array(off), pa.array(win), lo, hi], ["seg", "off", "win", "lo", "hi"])
 
     # A record's wanted segments are bounded by its own text.
-    lists = wanted.groupBy(F.col("rep_id").alias("id")).agg(F.collect_list(F.struct("first", "last", "seg", "lo", "hi")).alias("segs"))
-    one_text = docs.join(lists, "id").select("id", "text", "segs")
+    lists = wanted.groupBy(F.col("rep_id").alias("id"), "tid").agg(F.collect_list(F.struct("first", "last", "seg", "lo", "hi")).alias("segs"))
+    one_text = docs.join(lists, ["id", "tid"]).select("id", "text", "segs")
     return one_text.mapInArrow(run, f"seg long, off long, win long, lo {id_type}, hi {id_type}")
 
 
 def _intervals(df: DataFrame, id_col: str, text_col: str, chars: int) -> DataFrame:
-    """(id, start, end) of shared stretches, overlapping."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    """(id, tid, start, end) of shared stretches, overlapping."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tid")).where("id is not null and text is not null")
     rows = cut(_segment_rows(docs, chars))
-    texts = rows.groupBy("anchor", "seg").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "first", "last")).alias("rep"))
+    texts = rows.groupBy("anchor", "seg").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "tid", "first", "last")).alias("rep"))
     anchors = texts.groupBy("anchor").agg(F.count("*").alias("n_seg"), F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi")).where("a_lo <> a_hi")
     known = cut(texts.join(anchors, "anchor").select("anchor", "seg", "lo", "hi", "rep", "n_seg"))
-    whole = rows.join(known.where("lo <> hi").select("anchor", "seg"), ["anchor", "seg"]).select("id", F.col("first").alias("start"), (F.col("last") + chars).alias("end"))
-    border = known.where("n_seg > 1").select(F.col("rep.id").alias("rep_id"), "rep.first", "rep.last", "seg", "lo", "hi")
+    whole = rows.join(known.where("lo <> hi").select("anchor", "seg"), ["anchor", "seg"]).select("id", "tid", F.col("first").alias("start"), (F.col("last") + chars).alias("end"))
+    border = known.where("n_seg > 1").select(F.col("rep.id").alias("rep_id"), "rep.tid", "rep.first", "rep.last", "seg", "lo", "hi")
     windows = cut(_window_rows(docs, border, chars))
     shared = windows.groupBy("win").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi")).where("w_lo <> w_hi").select("win")
     # Segments of several records are whole already; the rest belong to one record, maybe at several places.
     offsets = windows.where("lo = hi").join(shared, "win").select("seg", "off")
     single = rows.join(known.where("lo = hi and n_seg > 1").select("anchor", "seg"), ["anchor", "seg"]).join(offsets, "seg")
-    return whole.unionByName(single.select("id", (F.col("first") + F.col("off")).alias("start"), (F.col("first") + F.col("off") + chars).alias("end")))
+    return whole.unionByName(single.select("id", "tid", (F.col("first") + F.col("off")).alias("start"), (F.col("first") + F.col("off") + chars).alias("end")))
 
 
 def shared_spans(df: DataFrame, id_col: str, text_col: str, chars: int = MIN_CHARS) -> DataFrame:
     """(id, start, length) of the maximal intervals of each record that are covered by shared spans."""
-    so_far = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("id", "tid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("id", "tid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
     marked = _intervals(df, id_col, text_col, chars).distinct().withColumn("before", F.max("end").over(so_far))
     begins = F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)
-    grouped = marked.withColumn("run", F.sum(begins).over(upto)).groupBy("id", "run")
+    grouped = marked.withColumn("run", F.sum(begins).over(upto)).groupBy("id", "tid", "run")
     spans = grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return spans.select(F.col("id").alias(id_col), "start", (F.col("end") - F.col("start")).alias("length"))
 

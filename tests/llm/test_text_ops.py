@@ -97,6 +97,8 @@ def test_shared_spans_against_brute_force(spark):
     again = df.unionByName(df.where("doc_id = 7"))
     assert {r.doc_id: r.shared_chars for r in shared_amount(again, "doc_id", "text", 20).collect()} == brute_spans(docs, 20)
     assert shared_spans(df.limit(0), "doc_id", "text", 20).count() == 0
+    two = spark.createDataFrame([(1, base[0]), (1, base[1][:30]), (2, base[0] + "z"), (3, base[1][:25])], "doc_id long, text string")
+    assert {r.doc_id: r.shared_chars for r in shared_amount(two, "doc_id", "text", 20).collect()} == {1: len(base[0]) + 25, 2: len(base[0]), 3: 25}
 
 
 def test_terms_of_null_empty_repeated_and_tied_records(spark):

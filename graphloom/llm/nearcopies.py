@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import word_line
-from graphloom.session import cut
+from graphloom.session import cut, stage
 
 ROWS, BANDS, SKETCH_BITS, SLACK = 3, 48, 512, 0.25
 SLICE = 400
@@ -140,12 +140,12 @@ def text_rows(df: DataFrame, scope: Column, key: str, text: str, min_words: int)
 
 def similar_classes(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of classes of one scope at or above the threshold, a < b."""
-    classes = rows.groupBy("tid").agg(F.first("scope").alias("scope"), F.first("line").alias("line"))
-    banded = _bands_of(classes, width).select("tid", F.explode("bands").alias("band"))
+    as_classes = lambda df: df.groupBy("tid").agg(F.first("scope").alias("scope"), F.first("line").alias("line"))
+    banded = _bands_of(as_classes(rows), width).select("tid", F.explode("bands").alias("band"))
     left, right = banded.select("band", F.col("tid").alias("a")), banded.select("band", F.col("tid").alias("b"))
     candidates = cut(left.join(right, "band").where("a < b").select("a", "b").distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    details = cut(_sketches_of(classes.join(wanted, "tid", "left_semi"), width))
+    details = cut(_sketches_of(as_classes(rows.join(wanted, "tid", "left_semi")), width))
     side = lambda p, c: details.select(F.col("tid").alias(p), F.col(c).alias(f"{c}_{p}"))
     likely = candidates.join(side("a", "odd"), "a").join(side("b", "odd"), "b").where(odd_estimate(F.col("odd_a"), F.col("odd_b")) >= threshold - SLACK)
     pairs = likely.select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
@@ -159,6 +159,7 @@ def similar_pairs(rows: DataFrame, width: int, threshold: float) -> DataFrame:
 
     Copies are expanded here, by the definition of the result; :func:`similar_groups` keeps classes.
     """
+    rows = stage(rows)  # the words of a text are found once
     members = cut(rows.groupBy("scope", "key", "tid").agg(F.lit(1).alias("one")).drop("one"))
     m = lambda t, k: members.select(F.col("tid").alias(t), F.col("key").alias(k), "scope")
     same = m("t", "key_a").join(m("t", "key_b").drop("scope"), "t").where("key_a < key_b").select("scope", "key_a", "key_b")
@@ -170,6 +171,7 @@ def similar_pairs(rows: DataFrame, width: int, threshold: float) -> DataFrame:
 
 def similar_groups(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     """(scope, key, class_id, copies, links): each text's class, the class's size and its links to other classes."""
+    rows = stage(rows)
     members = rows.groupBy("scope", "key", "tid").agg(F.lit(1).alias("one")).drop("one")
     classes = similar_classes(rows, width, threshold)
     links = classes.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("links"))

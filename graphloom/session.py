@@ -64,7 +64,7 @@ def stage(df: DataFrame) -> DataFrame:
         atexit.register(_remove_staged)
     path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -214,6 +214,24 @@ def weak_forms(r: Reading) -> set[str]:
     return out
 
 
+def mistyped(w: str) -> set[str]:
+    """Every word one mistyped letter away, none for short words."""
+    if len(w) < 6:
+        return set()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+    out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+    out |= {a + c + b for a, b in cuts for c in letters} | {a + c + b[1:] for a, b in cuts if b for c in letters}
+    return out - {w}
+
+
+def mistyped_keys(key: str) -> set[str]:
+    """The partial names that a partial name may be a mistyped form of."""
+    parts = key.split("|")
+    at = 2 if parts[0] == "i" else 1
+    return {"|".join([*parts[:at], w, *parts[at + 1 :]]) for w in mistyped(parts[at])}
+
+
 def same_whole(a: Reading, b: Reading) -> bool:
     """Whether two whole names that share a strong form differ by mistyping only."""
     if a.kind != b.kind:
@@ -354,9 +372,13 @@ def identities(entities: DataFrame, nicknames: DataFrame, entity_id: str = "enti
             tried = left.unionByName(joined)
         fitting = tried.join(leads.withColumnRenamed("form", "key"), "key")
         found = _only(fitting, "id", "identity")
+        # Those that fit nothing may be mistyped; they are few, so they are varied, not what they are compared with.
+        lost = cut(left.join(fitting.select("id").distinct(), "id", "left_anti"))
+        varied = _rows(lost.select("key").distinct(), lambda k: ((k, f) for f in mistyped_keys(k)), "key string, form string")
+        near = lost.join(varied, "key").join(leads, "form").select("id", "identity")
         # Forms that lead nowhere are identities of their own, shared by the entities that have them.
-        alone = left.join(fitting.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"))
-        placed = cut(placed.unionByName(found).unionByName(alone))
+        alone = lost.join(near.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"))
+        placed = cut(placed.unionByName(found).unionByName(_only(near, "id", "identity")).unionByName(alone))
         if layer == 1:
             leads = leads.unionByName(alone.select(F.concat(F.lit("w|"), F.element_at(F.split("identity", "\\|"), F.when(F.col("identity").startswith("i|"), 3).otherwise(2))).alias("form"), "identity")).distinct()
     return placed

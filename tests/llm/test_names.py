@@ -1,7 +1,7 @@
 from graphloom.llm.names import Reading, alike, components, distance, drops, identities, name_pairs
 
 SAME = {
-    "ann": ["Antonia Berglindqvist", " BERGLINDQVIST, Antonia", "Dr. Antonia B. Berglindqvist", "Antonia Berglindqvist, PhD", "Toni Berglindqvist", "A. Berglindqvist", "Antonía  Berglìndqvist", "Antonia Bergl1ndqvist", "antonia.berglindqvist", "Antonia Bergilndqvsit", "Prof. Berglindqvist", "aberglindqvist", "Antonia Berg-Lindqvist"],
+    "ann": ["Antonia Berglindqvist", " BERGLINDQVIST, Antonia", "Dr. Antonia B. Berglindqvist", "Antonia Berglindqvist, PhD", "Toni Berglindqvist", "A. Berglindqvist", "Antonía  Berglìndqvist", "Antonia Bergl1ndqvist", "antonia.berglindqvist", "Antonia Bergilndqvsit", "Prof. Berglindqvist", "aberglindqvist", "Prof. Berglidnqvist", "A. Berglindqist", "Antonia Berg-Lindqvist"],
     "rob": ["Robert Berglandsson", "Bob Berglandsson"],
     "carl": ["Carl Oberhauser"],
     "dora": ["Dora Oberhauser"],

@@ -30,35 +30,35 @@ def _once(spark: SparkSession, d: str, name: str, key: str, time: str = "ingeste
 
 
 def tokenize_terms(spark, d):
-    return bm25.postings(read_table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf", "length")
+    return bm25.postings(read_table(spark, d, "documents", spread=True), "doc_id", "text").select(F.col("id").alias("doc_id"), "term", "tf", "length")
 
 
 def bm25_doc_freq(spark, d):
-    return bm25.doc_frequency(bm25.postings(read_table(spark, d, "documents"), "doc_id", "text"))
+    return bm25.doc_frequency(bm25.postings(read_table(spark, d, "documents", spread=True), "doc_id", "text"))
 
 
 def bm25_corpus_stats(spark, d):
-    return bm25.corpus_stats(read_table(spark, d, "documents"), "text").select("n", F.round("avgdl", 6).alias("avgdl"))
+    return bm25.corpus_stats(read_table(spark, d, "documents", spread=True), "text").select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_topk(spark, d):
-    found = bm25.search(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "search_queries"), "query_id", "query_text", 10)
+    found = bm25.search(read_table(spark, d, "documents", spread=True), "doc_id", "text", read_table(spark, d, "search_queries"), "query_id", "query_text", 10)
     return found.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 def bm25_match_counts(spark, d):
-    docs, q = read_table(spark, d, "documents"), read_table(spark, d, "search_queries")
+    docs, q = read_table(spark, d, "documents", spread=True), read_table(spark, d, "search_queries")
     hits = bm25.scores(bm25.postings(docs, "doc_id", "text"), bm25.corpus_stats(docs, "text"), bm25.query_terms(q, "query_id", "query_text"))
     return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
 
 
 def quality_metrics(spark, d):
-    m = quality.quality_metrics(read_table(spark, d, "documents"), "text")
+    m = quality.quality_metrics(read_table(spark, d, "documents", spread=True), "text")
     return m.select("doc_id", *[F.round(c, 6).alias(c) for c in ("repetition", "entropy", "malformed", "whitespace")])
 
 
 def quality_verdict(spark, d):
-    return quality.judge(read_table(spark, d, "documents"), "text").select("doc_id", "reason")
+    return quality.judge(read_table(spark, d, "documents", spread=True), "text").select("doc_id", "reason")
 
 
 def normalized_texts(spark, d):
@@ -72,11 +72,11 @@ def header_section_counts(spark, d):
 
 
 def chunked_documents(spark, d):
-    return chunk_documents(read_table(spark, d, "source_documents")).drop("metadata").distinct()
+    return chunk_documents(read_table(spark, d, "source_documents", spread=True)).drop("metadata").distinct()
 
 
 def chunked_texts(spark, d):
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "source_path", F.col("text").alias("raw_content"))
+    docs = read_table(spark, d, "documents", spread=True).select(F.col("doc_id").cast("string").alias("id"), "source_path", F.col("text").alias("raw_content"))
     return chunk_documents(docs).drop("metadata")
 
 
@@ -426,6 +426,10 @@ ORACLES = {
  select min_by(entity_id, seen) entity_id, min_by(coalesce(entity_type, chr(0)), ({_PRIO}, seen)) entity_type,
  list_reduce(list_prepend('', list(coalesce(description, '') order by seen)), lambda acc, x: case when x = '' then acc when acc = '' then x when contains(acc, x) then acc else acc || ' | ' || x end) description,
  array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_document_ids, []))))), ',') source_document_ids, array_to_string(list_sort(list_distinct(flatten(list(coalesce(source_chunk_ids, []))))), ',') source_chunk_ids from k group by k""".replace(f"min_by(coalesce(entity_type, chr(0)), ({_PRIO}, seen)) entity_type", f"nullif(min_by(coalesce(entity_type, chr(0)), ({_PRIO}, seen)), chr(0)) entity_type"),
+    "entity_upsert": f"""with {_ENT}, n as (select *, lower(name) k, {_PRIO} p, coalesce(entity_type = 'PERSON', true) mine from ent where name is not null),
+ h as (select k, mine, min(entity_id) id, min_by(name, entity_id) name, min(p) p, nullif(min_by(coalesce(entity_type, chr(0)), (p, entity_id)), chr(0)) t from n group by 1, 2)
+ select coalesce(a.id, b.id) entity_id, coalesce(a.name, b.name) name, case when a.k is null or b.p < a.p then b.t else a.t end entity_type
+ from (select * from h where mine) a full join (select * from h where not mine) b using (k)""",
     "stranded_entities": f"with {_ENT} select entity_id from ent where not exists (select 1 from relationships where source_entity_id = entity_id) and not exists (select 1 from relationships where target_entity_id = entity_id)",
     "connected_entities": f"with {_ENT} select entity_id from ent where exists (select 1 from relationships where source_entity_id = entity_id) or exists (select 1 from relationships where target_entity_id = entity_id)",
     "relationship_enrich": f"with {_ENT}, {_REL} select relationship_id, a.name source_name, a.entity_type source_type, b.name target_name, b.entity_type target_type from rel left join ent a on a.entity_id = source_entity_id left join ent b on b.entity_id = target_entity_id",

@@ -51,8 +51,8 @@ def p4_term_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scoped_texts(spark: SparkSession, d: str) -> DataFrame:
-    chunks = text_rows(read_table(spark, d, "chunks"), F.lit("chunks"), "chunk_id", "text", 20)
-    return chunks.unionByName(text_rows(read_table(spark, d, "retrieval_results"), F.col("query_id"), "chunk_id", "text", 20))
+    chunks = text_rows(read_table(spark, d, "chunks", spread=True), F.lit("chunks"), "chunk_id", "text", 20)
+    return chunks.unionByName(text_rows(read_table(spark, d, "retrieval_results", spread=True), F.col("query_id"), "chunk_id", "text", 20))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,24 +67,24 @@ _PAGE = ("id", "source_path", "raw_content")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    blocks = page_blocks(read_table(spark, d, "source_documents"), *_PAGE)
+    blocks = page_blocks(read_table(spark, d, "source_documents", spread=True), *_PAGE)
     return blocks.where("kind <> 'text'").select("id", "kind", "element").distinct()
 
 
 def p6_clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return clean_pages(read_table(spark, d, "source_documents"), *_PAGE)
+    return clean_pages(read_table(spark, d, "source_documents", spread=True), *_PAGE)
 
 
 def p6_template_classes(spark: SparkSession, d: str) -> DataFrame:
-    return equivalence_classes(read_table(spark, d, "source_documents"), *_PAGE)
+    return equivalence_classes(read_table(spark, d, "source_documents", spread=True), *_PAGE)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_texts(read_table(spark, d, "documents"), "doc_id", "text")
+    return encode_texts(read_table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_spans(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+    return leaked_spans(read_table(spark, d, "documents", spread=True), read_table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,11 +96,11 @@ def p9_removed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_amount(read_table(spark, d, "documents"), "doc_id", "text", MIN_CHARS).select("doc_id", "shared_chars")
+    return shared_amount(read_table(spark, d, "documents", spread=True), "doc_id", "text", MIN_CHARS).select("doc_id", "shared_chars")
 
 
 def p10_spans(spark: SparkSession, d: str) -> DataFrame:
-    return shared_spans(read_table(spark, d, "documents"), "doc_id", "text", MIN_CHARS)
+    return shared_spans(read_table(spark, d, "documents", spread=True), "doc_id", "text", MIN_CHARS)
 
 
 QUERIES = {
@@ -139,6 +139,11 @@ s as (select distinct id, scope, k, array_to_string(w[i:i+2], ' ') s from (selec
 n as (select id, count(*) n from s group by 1),
 p as (select a.scope, a.id ia, b.id ib, a.k key_a, b.k key_b, count(*) c from s a join s b on a.scope = b.scope and a.s = b.s and a.k < b.k group by all)
 select distinct scope, key_a, key_b from p join n na on na.id = ia join n nb on nb.id = ib where c >= 0.5 * (na.n + nb.n - c)""",
+    "p10_found": """
+with w as (select doc_id, i, substring(text, i, 200) s from (select doc_id, text, unnest(range(1, length(text) - 198)) i from documents where length(text) >= 200)),
+m as (select s from w group by s having count(distinct doc_id) > 1),
+c as (select distinct doc_id, i from w join m using (s))
+select doc_id, sum(n)::bigint shared_chars from (select doc_id, least(200, coalesce(lead(i) over (partition by doc_id order by i) - i, 200)) n from c) group by 1""",
     "p9_found": """
 with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null),
 g as (select distinct doc_id, array_to_string(w[i:i+9], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) i from w)),

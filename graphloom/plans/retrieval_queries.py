@@ -12,7 +12,7 @@ from graphloom.functions.text import STOPWORDS, header_sections, normalize_text,
 from graphloom.operators import bm25, communities, entities, fusion, graph, lookup, quality, vectors
 from graphloom.operators.chunking import chunk_documents
 from graphloom.operators.stats import corpus_counts, table_counts
-from graphloom.plans.search import vector_hits
+from graphloom.plans.search import vector_hits_all
 from graphloom.sources.store import merged
 from graphloom.sources.tables import read_table
 
@@ -141,7 +141,7 @@ def vector_search_all(spark, d):
     """The nearest chunks of the first chunks' vectors: several vector queries in one scan."""
     e = read_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     q = read_table(spark, d, "embeddings").where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector_hits(e, q, 3).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("similarity"))
+    return vector_hits_all(e, q, 3).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("similarity"))
 
 
 # ------------------------------------------------------------ lookups

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.config import DEFAULTS, Settings
 from graphloom.operators import bm25, fusion, graph, lookup
 from graphloom.operators.vectors import cosine
+from graphloom.session import stage
 from graphloom.sources.providers import EmbeddingProvider
 
 # Names of the search types, and of the modes of the tool.
@@ -68,7 +69,7 @@ class Engine:
         text_hits = bm25.search(self.t.chunks, "chunk_id", "text", queries, "query_id", "text", 3 * k, self.s, self.stopwords)
         if "vector" not in queries.columns:
             return fusion.text_only(text_hits, k)
-        return fusion.fuse(vector_hits(self.t.embeddings, queries, 3 * k), text_hits, k, alpha, s=self.s)
+        return fusion.fuse(vector_hits_all(self.t.embeddings, queries, 3 * k), text_hits, k, alpha, s=self.s)
 
     def _asked(self, query: str) -> DataFrame:
         spark = self.t.chunks.sparkSession
@@ -119,12 +120,28 @@ class Engine:
 def vector_hits(embeddings: DataFrame, queries: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
     """(query_id, id, score): the k nearest vectors of every query, by a scan of all vectors.
 
-    The queries are what a user asks at one time and are broadcast; more than
-    ``most_queries`` are refused, as pairs would grow with both sides.
+    The queries are broadcast; more than ``most_queries`` are refused here, as
+    pairs would grow with both sides: :func:`vector_hits_all` takes any number.
     """
     asked = queries.select("query_id", "vector")
     if asked.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} vector queries at once; use the nearest-neighbour index")
+        raise ValueError(f"more than {most_queries} vector queries at once; use vector_hits_all")
     pairs = embeddings.select(F.col("chunk_id").alias("id"), "embedding").join(F.broadcast(asked))
     scored = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null")
     return bm25.top_k(scored, k).drop("rank")
+
+
+def vector_hits_all(embeddings: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
+    """:func:`vector_hits` for any number of queries, in blocks of at most ``block``, each against all vectors."""
+    asked = queries.select("query_id", "vector")
+    n = asked.count()
+    if n <= block:
+        return vector_hits(embeddings, asked, k, block)
+    at = F.monotonically_increasing_id()  # the partition above bit 33, the row within it below
+    placed = stage(asked.repartition(n // block + 1).withColumn("at", at).withColumn("block", F.struct(F.shiftright("at", 33).alias("part"), F.floor(F.col("at") % (1 << 33) / block).alias("nth"))))
+    found = None
+    for b in sorted(r.block for r in placed.select("block").distinct().collect()):
+        own = placed.where((F.col("block.part") == b.part) & (F.col("block.nth") == b.nth))
+        hits = vector_hits(embeddings, own, k, block)
+        found = hits if found is None else found.unionByName(hits)
+    return bm25.top_k(found, k).drop("rank")  # vectors of one query id may be in several blocks

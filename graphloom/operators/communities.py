@@ -2,8 +2,9 @@
 
 Deterministic label propagation: every round each node takes the label with the
 greatest weight among its neighbours (ties to the least label), keeping its own
-if nothing is heavier. Communities above the size limit are cut again inside on
-the next level. Each node is in one community per level, and levels nest.
+if nothing is heavier. Communities above the size limit are divided on the next
+level into connected parts within the limit, by all of their inner edges. Each
+node is in one community per level, and levels nest.
 """
 
 from __future__ import annotations
@@ -39,30 +40,58 @@ def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return chosen.select("node", F.when(keep, F.col("label")).otherwise(F.col("new")).alias("label"))
 
 
+def bounded_parts(graph: DataFrame, most: int) -> DataFrame:
+    """(node, label): connected parts of at most ``most`` nodes over (a, b, weight), no two of which could still be joined.
+
+    Every round each part turns to the one it has the greatest mean weight to,
+    among those that it fits with. The larger of two that turn to each other
+    takes in all that turn to it, the closest first, while there is room. No edge
+    is left out; nodes stay alone where all their neighbours' parts are full.
+    """
+    graph = stage(graph.where("a <> b"))
+    labels = stage(graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct().withColumn("label", F.col("node")))
+    while True:
+        size = stage(labels.groupBy("label").agg(F.count("*").alias("n")))
+        at = lambda c, o: labels.select(F.col("node").alias(c), F.col("label").alias(o))
+        between = graph.join(at("a", "la"), "a").join(at("b", "lb"), "b").where("la <> lb").groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.sum("weight").alias("w"))
+        of = lambda c, o: size.select(F.col("label").alias(c), F.col("n").alias(o))
+        fit = between.join(of("x", "nx"), "x").join(of("y", "ny"), "y").where(F.col("nx") + F.col("ny") <= most)
+        # One order of the pairs for both ends, so that the first pair of all is joined in any case; equal ones are in random order, else chains would be joined one by one.
+        rank = F.struct((-F.round(F.col("w") / (F.col("nx") * F.col("ny")), 9)).alias("w"), F.xxhash64("x", "y").alias("h"), "x", "y")
+        pairs = stage(fit.select("x", "y", "nx", "ny", rank.alias("rank")))
+        if pairs.isEmpty():
+            return labels
+        sides = pairs.select(F.col("x").alias("own"), F.col("y").alias("to"), F.col("nx").alias("n"), F.col("ny").alias("to_n"), "rank").unionByName(pairs.select(F.col("y").alias("own"), F.col("x").alias("to"), F.col("ny").alias("n"), F.col("nx").alias("to_n"), "rank"))
+        turned = stage(sides.groupBy("own").agg(F.min_by(F.struct("to", "n", "to_n", "rank"), "rank").alias("t"), F.count("*").alias("links")).select("own", "t.*", "links"))
+        other = turned.select(F.col("own").alias("to"), F.col("to").alias("back"), F.col("links").alias("to_links"))
+        larger = lambda n, links, label: F.struct(F.col(n).alias("n"), F.col(links).alias("links"), F.col(label).alias("label"))
+        heads = turned.join(other, "to").where((F.col("back") == F.col("own")) & (larger("n", "links", "own") > larger("to_n", "to_links", "to"))).select(F.col("own").alias("to"))
+        so_far = F.sum("n").over(Window.partitionBy("to").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+        moved = turned.join(heads, "to", "left_semi").withColumn("so_far", so_far).where(F.col("so_far") + F.col("to_n") <= most).select(F.col("own").alias("label"), F.col("to").alias("new"))
+        labels = stage(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+
+
 def communities(graph: DataFrame, rounds: int = 5, levels: int = 3, s: Settings = DEFAULTS) -> DataFrame:
-    """(level, cluster, node): level 0 over the whole graph, further levels inside the communities before."""
+    """(level, cluster, node): level 0 over the whole graph, further levels inside the communities before.
+
+    From level 1 on no community is above the size limit, so two levels hold all.
+    """
     inner = stage(graph)
     out, before = None, None
     for level in range(levels):
-        labels = label_propagation(inner, rounds)
-        if before is not None:
-            # Nodes cut off by the finer borders stay in a community of their own.
-            labels = before.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+        if before is None:
+            labels = label_propagation(inner, rounds)
+        else:
+            labels = before.join(bounded_parts(inner, s.max_community_size), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = stage(labels)
         own = _numbered(labels, level)
         out = own if out is None else out.unionByName(own)
         large = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > s.max_community_size).select("label")
         if large.isEmpty():
             break
-        before = stage(labels.join(large, "label", "left_semi").select("node", "label")).select("node", F.col("label").alias("outer"))
+        before = stage(labels.join(large, "label", "left_semi").select("node", F.col("label").alias("outer")))
         side = lambda c, o: before.select(F.col("node").alias(c), F.col("outer").alias(o))
         inner = stage(inner.join(side("a", "la"), "a").join(side("b", "lb"), "b").where("la = lb").select("a", "b", "weight"))
-        # A community that one more propagation would rebuild is cut at its weaker edges.
-        mean = inner.agg(F.avg("weight")).first()[0]
-        if mean is None:
-            break
-        inner = inner.where((F.col("weight") > mean) | (F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0))
-        before = before.select("node")
     return out
 
 

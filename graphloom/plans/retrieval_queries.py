@@ -278,7 +278,7 @@ def label_propagation_2(spark, d):
 
 
 def community_levels(spark, d):
-    return communities.communities(graph.simple_graph(_relations(spark, d)), rounds=3, levels=2)
+    return communities.communities(graph.simple_graph(_relations(spark, d)))
 
 
 def community_summaries_made(spark, d):

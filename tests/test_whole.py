@@ -1,8 +1,11 @@
 """Operators do the whole job, whatever the number of queries or the size of a community."""
 
 import random
+from collections import Counter
+from dataclasses import replace
 
-from graphloom.operators import vectors
+from graphloom.config import DEFAULTS
+from graphloom.operators import communities, vectors
 from graphloom.plans.search import vector_hits_all
 from pyspark.sql import functions as F
 
@@ -19,3 +22,20 @@ def test_more_vector_queries_than_a_block(spark):
     assert got == {(i, c) for i, x in best.items() for _, c in sorted(x)[:2]} and len(got) == 2406
     small = {(r.query_id, r.id) for r in vector_hits_all(e, q.where("query_id < 20"), 2, block=3).collect()}
     assert small == {x for x in got if x[0] < 20}
+
+
+def test_no_community_stays_above_the_limit(spark):
+    clique = [(f"c{a:02d}", f"c{b:02d}", 1.0) for a in range(26) for b in range(a)]
+    star = [("hub", f"leaf{i:02d}", 1.0) for i in range(25)]
+    path = [(f"p{i:02d}", f"p{i + 1:02d}", 1.0) for i in range(39)]
+    parts = Counter()
+    rows = communities.bounded_parts(spark.createDataFrame(clique + star + path, "a string, b string, weight double"), 10).collect()
+    label = {r.node: r.label for r in rows}
+    assert len(label) == len(rows) == 26 + 26 + 40
+    parts.update(label.values())
+    assert max(parts.values()) <= 10 and parts[label["hub"]] == 10
+    # Nothing is torn out of a part: whatever has an edge to another part does not fit with it.
+    assert all(label[a] == label[b] or parts[label[a]] + parts[label[b]] > 10 for a, b, _ in clique + star + path)
+    found = communities.communities(spark.createDataFrame(clique, "a string, b string, weight double"), s=replace(DEFAULTS, max_community_size=10)).collect()
+    last = Counter(r.cluster for r in found if r.level == 1)
+    assert sum(last.values()) == 26 and max(last.values()) <= 10 and min(last.values()) > 1

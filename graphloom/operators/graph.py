@@ -79,17 +79,23 @@ def simple_graph(rels: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max_by("w", "relationship_id").alias("weight"))
 
 
+def _touching(rels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, relationship_id): the edges that touch any of each query's (query_id, entity_id), each once."""
+    return adjacency(rels).join(nodes.select("query_id", F.col("entity_id").alias("node")).distinct(), "node").select("query_id", "relationship_id").distinct()
+
+
 def entity_context(hits: DataFrame, entities: DataFrame, rels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities met in the hit chunks that have edges, and the edges that touch them, each once."""
-    chunks = hits.select(F.col("id").alias("_c")).distinct()
-    met = entities.select("entity_id", F.explode("source_chunk_ids").alias("_c")).join(chunks, "_c", "left_semi").select("entity_id").distinct()
-    own = connected(entities.join(met, "entity_id", "left_semi"), rels)
-    return own, incident(rels, own)
+    """For each query_id the entities met in its hit chunks that have edges, and the edges that touch them, each once."""
+    chunks = hits.select("query_id", F.col("id").alias("_c")).distinct()
+    met = entities.select("entity_id", F.explode("source_chunk_ids").alias("_c")).join(chunks, "_c").select("query_id", "entity_id").distinct()
+    own = connected(entities, rels).join(met, "entity_id")
+    return own, rels.join(_touching(rels, own), "relationship_id")
 
 
 def evidence(hits: DataFrame, own: DataFrame, edges: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """The edges with ``direct``: whether an end is an entity met in the very first chunks."""
-    top = hits.where(F.col("rank") <= s.direct_chunk_window).select(F.col("id").alias("_c")).distinct()
-    direct = own.select("entity_id", F.explode("source_chunk_ids").alias("_c")).join(top, "_c", "left_semi").select("entity_id").distinct()
-    flagged = incident(edges, direct).select("relationship_id", F.lit(True).alias("_d"))
-    return edges.join(flagged, "relationship_id", "left").withColumn("direct", F.coalesce("_d", F.lit(False))).drop("_d")
+    """The edges with ``direct``: whether an end is an entity met in the very first chunks of the same query."""
+    top = hits.where(F.col("rank") <= s.direct_chunk_window).select("query_id", F.col("id").alias("_c")).distinct()
+    direct = own.select("query_id", "entity_id", F.explode("source_chunk_ids").alias("_c")).join(top, ["query_id", "_c"], "left_semi")
+    once = edges.select("relationship_id", "source_entity_id", "target_entity_id").distinct()
+    flagged = _touching(once, direct).withColumn("_d", F.lit(True))
+    return edges.join(flagged, ["query_id", "relationship_id"], "left").withColumn("direct", F.coalesce("_d", F.lit(False))).drop("_d")

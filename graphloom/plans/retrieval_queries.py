@@ -116,6 +116,23 @@ def near_copies_dropped(spark, d):
     return fusion.drop_near_copies(hits, "embedding", 0.3).select(F.col("id").alias("vec_id"), "rank")
 
 
+def _near_all(spark, d):
+    """The ten vectors nearest to each whose id is divisible by 50."""
+    e = read_table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return vector_hits_all(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), q, 10)
+
+
+def vector_topk_all(spark, d):
+    return _near_all(spark, d).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("similarity"))
+
+
+def near_copies_dropped_all(spark, d):
+    e = read_table(spark, d, "embeddings")
+    hits = bm25.top_k(_near_all(spark, d), 10).join(e.select(F.col("vec_id").alias("id"), "embedding"), "id")
+    return fusion.drop_near_copies(hits, "embedding", 0.3).select("query_id", F.col("id").alias("vec_id"), "rank")
+
+
 # ------------------------------------------------------------ fusion
 
 
@@ -240,11 +257,18 @@ def incident_relationships(spark, d):
     return graph.incident(_relations(spark, d), few).select("relationship_id")
 
 
+def _ten_hits(rows: DataFrame) -> DataFrame:
+    scored = rows.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.max(F.coalesce(F.when(~F.isnan("fused_score"), F.col("fused_score")), F.lit(0.0))).alias("score"))
+    return bm25.top_k(scored, 10)
+
+
 def _first_hits(spark, d):
     rows = read_table(spark, d, "retrieval_results")
-    first = rows.join(rows.agg(F.min("query_id").alias("query_id")), "query_id", "left_semi")
-    scored = first.groupBy("query_id", F.col("chunk_id").alias("id")).agg(F.max(F.coalesce(F.when(~F.isnan("fused_score"), F.col("fused_score")), F.lit(0.0))).alias("score"))
-    return bm25.top_k(scored, 10)
+    return _ten_hits(rows.join(rows.agg(F.min("query_id").alias("query_id")), "query_id", "left_semi"))
+
+
+def _all_hits(spark, d):
+    return _ten_hits(read_table(spark, d, "retrieval_results").where("query_id is not null"))
 
 
 def entity_context(spark, d):
@@ -258,6 +282,19 @@ def evidence_split(spark, d):
     return graph.evidence(hits, own, edges).select("relationship_id", "direct")
 
 
+def entity_context_all(spark, d):
+    """The context of every query's hits."""
+    own, edges = graph.entity_context(_all_hits(spark, d), _once(spark, d, "entities", "entity_id"), _relations(spark, d))
+    return own.select("query_id", F.lit("entity").alias("kind"), F.col("entity_id").alias("id")).unionByName(edges.select("query_id", F.lit("relationship").alias("kind"), F.col("relationship_id").alias("id")))
+
+
+def evidence_split_all(spark, d):
+    """The evidence of every query's hits."""
+    hits = _all_hits(spark, d)
+    own, edges = graph.entity_context(hits, _once(spark, d, "entities", "entity_id"), _relations(spark, d))
+    return graph.evidence(hits, own, edges).select("query_id", "relationship_id", "direct")
+
+
 def resolve_relationship_ids(spark, d):
     e = _once(spark, d, "entities", "entity_id").where("name is not null")
     stored = e.groupBy(F.lower("name").alias("name")).agg(F.max("entity_id").alias("entity_id"))
@@ -317,9 +354,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, bm25_doc_freq, bm25_corpus_stats, bm25_topk, bm25_match_counts, quality_metrics, quality_verdict, normalized_texts, header_section_counts, chunked_documents, chunked_texts, token_arrays,
-        vector_topk, vector_search_all, label_centroids, embedding_outliers, corpus_outliers, near_copies_dropped, text_only_ranking,
+        vector_topk, vector_topk_all, vector_search_all, label_centroids, embedding_outliers, corpus_outliers, near_copies_dropped, near_copies_dropped_all, text_only_ranking,
         documents_incomplete, documents_by_status, documents_by_portable_path, documents_without_chunks, chunk_outputs, chunks_of_documents, entities_by_search_names, names_of_sources,
-        entity_merge, entity_upsert, stranded_entities, connected_entities, relationship_enrich, simple_graph, entity_neighborhood_2hop, neighborhood_edges_2hop, incident_relationships, entity_context, evidence_split, resolve_relationship_ids, mention_matches,
+        entity_merge, entity_upsert, stranded_entities, connected_entities, relationship_enrich, simple_graph, entity_neighborhood_2hop, neighborhood_edges_2hop, incident_relationships, entity_context, entity_context_all, evidence_split, evidence_split_all, resolve_relationship_ids, mention_matches,
         label_propagation_2, community_levels, community_summaries_made, corpus_stats, table_stats, upsert_idempotent,
     )
 } | {"hybrid_fusion_topk": _fused(True, True), "fusion_alpha_only": _fused(True, False), "fusion_rrf_only": _fused(False, True)}
@@ -382,6 +419,11 @@ met as (select distinct entity_id, rank from (select entity_id, unnest(source_ch
 own as (select distinct entity_id from met where entity_id in (select source_entity_id from rel union select target_entity_id from rel)),
 edges as (select relationship_id, source_entity_id s, target_entity_id t from rel where source_entity_id in (select entity_id from own) or target_entity_id in (select entity_id from own))
 """
+_CONTEXT_ALL = f"""with {_ENT}, {_REL}, hits as (select query_id, chunk_id id, row_number() over (partition by query_id order by s desc, chunk_id) rank from (select query_id, chunk_id, max(coalesce(case when isnan(fused_score) then null else fused_score end, 0)) s from retrieval_results where query_id is not null group by 1, 2) qualify rank <= 10),
+met as (select distinct query_id, entity_id, rank from (select entity_id, unnest(source_chunk_ids) c from ent) join hits on id = c),
+own as (select distinct query_id, entity_id from met where entity_id in (select source_entity_id from rel union select target_entity_id from rel)),
+edges as (select query_id, relationship_id, source_entity_id s, target_entity_id t from rel join own on source_entity_id = entity_id union select query_id, relationship_id, source_entity_id, target_entity_id from rel join own on target_entity_id = entity_id)
+"""
 _PRIO = "case upper(entity_type) " + " ".join(f"when '{k}' then {v}" for k, v in TYPE_PRIORITY.items()) + " else 99 end"
 
 ORACLES = {
@@ -439,6 +481,9 @@ ORACLES = {
     "incident_relationships": f"with {_ENT}, {_REL}, l as (select entity_id from ent where entity_type = 'LOCATION') select relationship_id from rel where source_entity_id in (select entity_id from l) or target_entity_id in (select entity_id from l)",
     "entity_context": _CONTEXT + "select 'entity' kind, entity_id id from own union all select 'relationship', relationship_id from edges",
     "evidence_split": _CONTEXT + ", d as (select entity_id from own where entity_id in (select entity_id from met where rank <= 3)) select relationship_id, coalesce(s in (select entity_id from d), false) or coalesce(t in (select entity_id from d), false) direct from edges",
+    "entity_context_all": _CONTEXT_ALL + "select query_id, 'entity' kind, entity_id id from own union all select query_id, 'relationship', relationship_id from edges",
+    "evidence_split_all": _CONTEXT_ALL + ", d as (select distinct o.query_id, o.entity_id from own o join met m on m.query_id = o.query_id and m.entity_id = o.entity_id where m.rank <= 3) select e.query_id, relationship_id, a.entity_id is not null or b.entity_id is not null direct from edges e left join d a on a.query_id = e.query_id and a.entity_id = s left join d b on b.query_id = e.query_id and b.entity_id = t",
+    "vector_topk_all": f"select query_id, vec_id, round(s, 6) similarity from (select q.vec_id query_id, e.vec_id, {_COS.format('e.embedding', 'q.embedding')} s from embeddings e, embeddings q where q.vec_id % 50 = 0) qualify row_number() over (partition by query_id order by s desc, vec_id) <= 10",
     "resolve_relationship_ids": f"""with {_ENT}, {_REL}, st as (select lower(name) n, max(entity_id) i from ent where name is not null group by 1), m as (select entity_id f, i from ent join st on n = lower(name))
  select relationship_id, coalesce(a.i, source_entity_id) source_entity_id, coalesce(b.i, target_entity_id) target_entity_id from rel left join m a on a.f = source_entity_id left join m b on b.f = target_entity_id where coalesce(a.i, source_entity_id) in (select i from st) and coalesce(b.i, target_entity_id) in (select i from st)""",
     "mention_matches": f"""with {_ENT}, e as (select list_filter(source_document_ids, lambda x: length(x) > 0)[1] grp, entity_id, lower(trim(name)) n, canonical_name from ent where name is not null),

@@ -5,7 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 from graphloom.config import DEFAULTS
-from graphloom.operators import communities, vectors
+from graphloom.operators import communities, graph, vectors
 from graphloom.plans.search import vector_hits_all
 from pyspark.sql import functions as F
 
@@ -39,3 +39,12 @@ def test_no_community_stays_above_the_limit(spark):
     found = communities.communities(spark.createDataFrame(clique, "a string, b string, weight double"), s=replace(DEFAULTS, max_community_size=10)).collect()
     last = Counter(r.cluster for r in found if r.level == 1)
     assert sum(last.values()) == 26 and max(last.values()) <= 10 and min(last.values()) > 1
+
+
+def test_context_and_evidence_of_several_queries(spark):
+    e = spark.createDataFrame([("A", ["c1"]), ("B", ["c2"]), ("C", ["c3"])], "entity_id string, source_chunk_ids array<string>")
+    r = spark.createDataFrame([("e1", "A", "B"), ("e2", "C", "X")], "relationship_id string, source_entity_id string, target_entity_id string")
+    hits = spark.createDataFrame([("p", "c1", 1), ("q", "c3", 1), ("q", "c2", 4)], "query_id string, id string, rank int")
+    own, edges = graph.entity_context(hits, e, r)
+    assert {(x.query_id, x.entity_id) for x in own.collect()} == {("p", "A"), ("q", "B"), ("q", "C")}
+    assert {(x.query_id, x.relationship_id, x.direct) for x in graph.evidence(hits, own, edges).collect()} == {("p", "e1", True), ("q", "e1", False), ("q", "e2", True)}

@@ -3,19 +3,36 @@
 Method: every name is rewritten into all its canonical forms by rules for
 nicknames, initials, short forms, legal forms, abbreviations, token order,
 titles and mistyping. The forms are exploded and equi-joined, and a shared form
-counts by its rarity: forms that a whole name implies (same words in any order,
-one mistyped letter) link by themselves, while weak forms (an initial and a
-surname, a nickname, an acronym, a single word) link only if they lead to one
-identity, since a form shared by several identities says little.
+counts by its rarity, 1 / (number of identities that share it): only forms of
+score 1 link. Of two words that a mistyped letter would explain, one must be
+rare: borne by one name only, or by at most ``FEW`` and a quarter as many as
+bear the other, or by a twentieth of these. So two given names that are both in
+use, or both on the list of known given names, stay two persons however alike
+they are.
 
 Linking runs in three layers. Whole names are joined into identities
-(connected components). Names with an initial or an acronym, then single words,
-are attached to the one identity that their form leads to. The cleaned name of
-an entity, where given, is one more name of it.
-
-Names that are neither of a person nor of an organisation are set aside: those
-with a number, and those with a word that mostly stands in entities of other
-types. Null and blank names are ignored; a name of several ids links the ids.
+(connected components of the keys that share a checked form); abbreviated
+organisations, nicknames, cut-off and middle names follow where they mean one
+identity only. Names with an initial or an acronym, then single words, are
+attached to the one identity that their form leads to. The cleaned name of an
+entity, where given, is one more name of it.
+
+Every id with a name gets an identity:
+
+* words are runs of letters and digits of any script, names may have any number
+  of words; joining particles and titles of persons and legal forms of
+  organisations do not count;
+* a name that fits several identities is not linked to any; its identity is
+  its own reading, with the score 1 / their number;
+* names of neither persons nor organisations (a number without a sign of an
+  organisation, or a word that mostly stands in entities of other types) are of
+  kind ``x`` and equal only to names of the same words; those with a number are
+  organisations if their type says so and no word speaks against it;
+* null and blank names are ignored, null ids too; a name of several ids links
+  them; repeated rows and further columns change nothing.
+
+A form of one mistyped word is shared by at most as many spellings as there are
+words one or two letters longer, whatever the size of the data.
 """
 
 from __future__ import annotations
@@ -25,25 +42,28 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, stage
+from graphloom.session import stage
 
-# What stands before or after a person's name.
+# What stands before or after a person's name, and joining particles inside it.
 TITLES = set("dr prof professor mr mrs ms miss eng ing sir dame rev hon phd msc bsc ba ma mba md esq jr sr dphil".split())
+PARTICLES = set("de del della der den di da dos van von zu zur la le el al bin ibn ter ten af av y e".split())
 # Legal forms of organisations and joining words, neither of which distinguish them.
 LEGAL = set("ltd limited llc lc gmbh mbh gesellschaft inc incorporated corp corporation sa ag plc co company the of for and und".split())
 LEGAL_SIGN = LEGAL - set("the of for and und ma co".split())
-# Words for kinds of organisations, with abbreviations that are no prefixes.
+# Words for kinds of organisations, with their usual abbreviations.
 KINDS = set("museum university college academy laboratory department bureau society foundation centre center institute school association council".split())
 ABBREVIATED = {"ctr": "centre", "cntr": "centre", "center": "centre", "dept": "department", "fdn": "foundation", "fndn": "foundation", "univ": "university", "lab": "laboratory", "soc": "society", "mus": "museum", "coll": "college", "acad": "academy", "bur": "bureau", "inst": "institute", "assn": "association"}
+BARE_ABBREVIATIONS = ("lab", "ctr", "dept", "fdn")
 # Letters that look like others when scanned or typed.
 LOOKALIKE = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"))
-PREFIX = 3
 LONG_WORD = 7
+FEW = 3
 
-Form = tuple[str, str]
+_WORD = re.compile(r"[^\W_]+")
 
 
 def fold(s: str) -> str:
@@ -54,7 +74,7 @@ def fold(s: str) -> str:
 
 def unscan(w: str) -> str:
     """Digits typed or scanned for letters inside a word."""
-    return w.translate(str.maketrans("01358", "olesb")) if re.search("[a-z]", w) else w
+    return w.translate(str.maketrans("01358", "olesb")) if len(re.findall("[a-z]", w)) > 2 else w
 
 
 def lookalike(w: str) -> str:
@@ -83,7 +103,7 @@ def alike(a: str, b: str) -> bool:
     """Equal but for one mistyped letter (two in long words), letters in another order, or look-alikes."""
     if a == b or lookalike(a) == lookalike(b):
         return True
-    if min(len(a), len(b)) < 4:
+    if min(len(a), len(b)) < 4 or a.isdigit() or b.isdigit():
         return False
     if min(len(a), len(b)) >= LONG_WORD:
         return distance(a, b, 2) <= 2
@@ -98,127 +118,164 @@ def drops(w: str) -> set[str]:
     return out | {w}
 
 
-def stem(w: str) -> str:
-    return ABBREVIATED.get(w, w)[:PREFIX]
-
-
 class Reading:
-    """One name taken apart: kind, layer and words.
+    """One name taken apart: kind, layer and key.
 
-    layer 0: whole person ({two words}) or organisation (lead, content stems);
-    layer 1: an initial and a word, or a lead and an acronym; layer 2: one word.
+    kind p (person), o (organisation) or x (neither); layer 0: whole name; 1: an
+    initial and a word, or a lead and an acronym; 2: one word; -1: kind x.
+    Keys: ``p|words``, ``o|lead|content``, ``i|initial|word``, ``a|lead|initials``,
+    ``w|word``, ``x|words``. A content word cut off by a full stop keeps it.
     """
 
-    __slots__ = ("key", "kind", "layer", "words", "lead", "stems", "initials")
+    __slots__ = ("key", "kind", "layer")
 
     def __init__(self, name: str):
-        self.kind, self.layer, self.words = "", -1, ()
-        self.lead, self.stems, self.initials, self.key = "", (), "", ""
         text = fold(name)
         # "s.a.", "l.l.c." and the like are one word each.
         text = re.sub(r"\b(?:[a-z]\.){2,}", lambda m: m[0].replace(".", "") + " ", text)
-        text = re.sub(r"(?<=[a-z0-9])-(?=[a-z0-9])", "", text)
-        dotted = [w for w in re.findall(r"([a-z]{3,})\.", text) if w not in TITLES and w not in LEGAL]
-        raw = [unscan(w) for w in re.findall(r"[a-z0-9]+", text.replace("'", ""))]
-        if any(w.isdigit() for w in raw):
-            return
-        kinds = [w for w in raw if w in KINDS or w in ABBREVIATED and (w + "." in text or w in ("lab", "ctr", "dept", "fdn"))]
-        org = bool("&" in text or kinds or any(w in LEGAL_SIGN for w in raw[1:]) or len(raw) > 2 and "and" in raw[1:-1] or len(raw) > 2 and re.search(r"[a-z]{3,}\.(?:\s|$)", text) and dotted)
-        if org:
-            self._organisation(text, [w for w in raw if w not in LEGAL])
+        text = re.sub(r"(?<=[^\W_])-(?=[^\W_])", "", text)
+        raw = [unscan(w) for w in _WORD.findall(text.replace("'", ""))]
+        cut_off = {w for w in re.findall(r"([^\W\d_]{2,})\.(?=\s|$|,)", text)} - TITLES - LEGAL
+        kinds = [w for w in raw if w in KINDS or w in ABBREVIATED and (w in cut_off or w in BARE_ABBREVIATIONS)]
+        org = bool("&" in text or kinds or any(w in LEGAL_SIGN for w in raw[1:]) or len(raw) > 2 and "and" in raw[1:-1] or len(raw) > 2 and any(len(w) > 2 for w in cut_off))
+        if org and any(w not in LEGAL for w in raw):
+            self._organisation(text, [w + "." if w in cut_off and w not in ABBREVIATED else ABBREVIATED.get(w, w) for w in raw if w not in LEGAL])
+        elif any(w.isdigit() for w in raw) or not any(w not in TITLES and w != "the" for w in raw):
+            self.kind, self.layer, self.key = "x", -1, "x|" + (" ".join(raw) or text)
         else:
-            self._person([w for w in raw if w not in TITLES and w != "the"])
+            self._person(name, [w for w in raw if w not in TITLES and w != "the"])
 
     def _organisation(self, text: str, words: list[str]) -> None:
-        if "," in text and len(words) > 1 and stem(words[0]) in {stem(k) for k in KINDS}:
+        if "," in text and len(words) > 1 and (words[0] in KINDS or words[0].endswith(".") and any(k.startswith(words[0][:-1]) for k in KINDS)):
             words = [words[-1], *words[:-1]]  # "University of Zoology, Lead"
-        if not words:
-            return
-        self.kind, self.lead = "o", words[0]
-        self.stems = tuple(sorted(stem(w) for w in words[1:]))
-        self.initials = "".join(sorted(s[0] for s in self.stems))
-        self.layer = 0 if self.stems else 2
-        self.words = (self.lead,)
-        self.key = f"o|{self.lead}|{','.join(self.stems)}" if self.stems else f"w|{self.lead}"
-
-    def _person(self, words: list[str]) -> None:
-        long = [w for w in words if len(w) > 1]
-        if len(long) > 3 or not long:
-            return
-        if len(long) == 1:
-            initials = [w for w in words if len(w) == 1]
-            self.kind, self.words = "p", (long[0],)
-            if initials:
-                self.layer, self.initials = 1, initials[0]
-                self.key = f"i|{initials[0]}|{long[0]}"
-            else:
-                self.layer, self.key = 2, f"w|{long[0]}"
-            return
-        if len(long) == 2 and (len(long[1]) == 2 or len(long[1]) == 3 and not re.search("[aeiouy]", long[1])):  # "Lead MZ"
-            self.kind, self.layer, self.lead, self.initials, self.words = "o", 1, long[0], "".join(sorted(long[1])), (long[0],)
-            self.key = f"a|{self.lead}|{self.initials}"
-            return
-        self.kind, self.layer = "p", 0
-        self.words = tuple(sorted(long))
-        self.key = "p|" + "|".join(self.words)
-
-
-def strong_forms(r: Reading) -> set[str]:
-    """Forms of a whole name that may be shared by other spellings of it."""
-    out = {r.key}
-    if r.kind == "p":
-        for i, w in enumerate(r.words):
-            rest = "|".join(r.words[:i] + r.words[i + 1 :])
-            out |= {f"d|{rest}|{d}" for d in drops(w)}
-            out |= {f"s|{rest}|{''.join(sorted(w))}", f"l|{rest}|{lookalike(w)}"}
-    else:
-        content = ",".join(r.stems)
-        out |= {f"do|{content}|{d}" for d in drops(r.lead)}
-        out |= {f"so|{content}|{''.join(sorted(r.lead))}", f"lo|{content}|{lookalike(r.lead)}"}
-        if len(r.stems) > 1:
-            out |= {f"c|{r.lead}|{s}" for s in r.stems}
+        self.kind, lead = "o", words[0].rstrip(".")
+        self.layer = 0 if words[1:] else 2
+        self.key = f"o|{lead}|{','.join(sorted(words[1:]))}" if words[1:] else f"w|{lead}"
+
+    def _person(self, name: str, words: list[str]) -> None:
+        # A single character of a script without cases is a word, not an initial.
+        long = [w for w in words if len(w) > 1 or w.upper() == w]
+        initials = [w for w in words if len(w) == 1 and w.upper() != w]
+        self.kind = "p"
+        if len(long) == 2 and self._acronym(name, long):
+            self.kind, self.layer, self.key = "o", 1, f"a|{long[0]}|{long[1]}"
+        elif len(long) > 1:
+            self.layer = 0
+            core = [w for w in long if w not in PARTICLES]
+            self.key = "p|" + "|".join(sorted(core if len(core) > 1 else long))
+        elif long and initials:
+            self.layer, self.key = 1, f"i|{initials[0]}|{long[0]}"
+        elif long:
+            self.layer, self.key = 2, f"w|{long[0]}"
+        elif len(initials) > 1:
+            self.layer, self.key = 0, "p|" + "|".join(sorted(initials))
+        else:
+            self.layer, self.key = 2, f"w|{initials[0]}"
+
+    @staticmethod
+    def _acronym(name: str, long: list[str]) -> bool:
+        """Whether "Lead MZ" may be meant: two letters or so, in capitals or in a name of one case."""
+        short = long[1]
+        if not short.isalpha() or not (len(short) == 2 or len(short) in (3, 4) and not re.search("[aeiouy]", short)):
+            return False
+        typed = [w for w in _WORD.findall(name) if fold(w) == short]
+        return bool(typed) and (typed[-1].isupper() if name != name.lower() else True)
+
+
+def parts(key: str) -> tuple[str, list[str]]:
+    """Kind and words of a whole name's key: the lead first if it is an organisation."""
+    kind, *words = key.split("|")
+    return kind, [words[0], *words[1].split(",")] if kind == "o" else words
+
+
+def borne_words(key: str) -> set[tuple[str, str]]:
+    """(word, who bears it): the words of a whole name with the rest of it, content words cut to three letters."""
+    kind, words = parts(key)
+    cut = words if kind == "p" else [words[0], *(w[:3] for w in words[1:])]
+    return {(w, "|".join(sorted(cut[:i] + cut[i + 1 :]))) for i, w in enumerate(words)}
+
+
+def _initials(content: list[str]) -> str:
+    return "".join(sorted(w[0] for w in content))
+
+
+def strong_forms(key: str) -> set[str]:
+    """Forms of a whole name that a mistyped or abbreviated spelling of it shares."""
+    kind, words = parts(key)
+    if kind == "p":
+        out = {key}
+        for i, w in enumerate(words):
+            if len(w) >= 4 and not w.isdigit():
+                rest = "|".join(words[:i] + words[i + 1 :])
+                out |= {f"d|{rest}|{d}" for d in drops(w)} | {f"s|{rest}|{''.join(sorted(w))}", f"l|{rest}|{lookalike(w)}"}
+        return out
+    # Content words are cut to three letters in the forms only; the pair is checked by full words.
+    lead, stems = words[0], sorted(w[:3] for w in words[1:])
+    content = ",".join(stems)
+    out = {f"do|{content}|{lead}", f"lo|{content}|{lookalike(lead)}"}
+    if len(lead) >= 4:
+        out |= {f"do|{content}|{d}" for d in drops(lead)} | {f"so|{content}|{''.join(sorted(lead))}"}
+    for i, w in enumerate(words[1:], 1):
+        if len(w) >= 5 and not w.endswith("."):
+            rest = ",".join(sorted(x[:3] for j, x in enumerate(words[1:], 1) if j != i))
+            out |= {f"dc|{lead}|{rest}|{w[:j] + w[j + 1 :]}" for j in range(len(w))} | {f"dc|{lead}|{rest}|{w}"}
     return out
 
 
-def short_forms(r: Reading, nicknames: dict[str, set[str]]) -> set[str]:
-    """Forms of a whole person's name with a nickname or cut-off name written out as it may be meant."""
+def short_forms(key: str, nicknames: dict[str, set[str]]) -> set[str]:
+    """What a whole person's name may be meant as, its nickname or cut-off name written out."""
+    kind, words = parts(key)
     out = set()
-    if r.kind == "p" and len(r.words) == 2:
-        for w, rest in (r.words, r.words[::-1]):
-            for full in nicknames.get(w, ()):
-                out.add("p|" + "|".join(sorted((full, rest))))
+    if kind == "p" and len(words) == 2:
+        out.add("m|" + "|".join(words))
+        for w, rest in (words, words[::-1]):
+            out |= {"p|" + "|".join(sorted((full, rest))) for full in nicknames.get(w, ())}
             if len(w) <= 4:
                 out.add(f"b|{w}|{rest}")
     return out
 
 
-def long_forms(r: Reading) -> set[str]:
-    """The short forms that a whole name can be meant by."""
-    out = {r.key}
-    if r.kind == "p":
-        for w, rest in (r.words, r.words[::-1]) if len(r.words) == 2 else ():
+def long_forms(key: str) -> set[str]:
+    """The short forms that may mean this whole name."""
+    kind, words = parts(key)
+    if kind != "p":
+        return set()
+    out = {key}
+    if len(words) == 2:
+        for w, rest in (words, words[::-1]):
             out |= {f"b|{w[:n]}|{rest}" for n in (3, 4) if len(w) > n}
+    else:  # without its middle names, whichever these are
+        out |= {"m|" + "|".join(sorted((a, b))) for i, a in enumerate(words) for b in words[i + 1 :]}
     return out
 
 
-def weak_forms(r: Reading) -> set[str]:
-    """Layer 1 and 2 forms of a whole or partial name."""
-    out = {f"w|{w}" for w in r.words}
-    if r.kind == "p" and r.layer == 0:
-        for i, w in enumerate(r.words):
-            out |= {f"i|{w[0]}|{x}" for j, x in enumerate(r.words) if j != i}
-    elif r.kind == "p" and r.layer == 1:
-        out.add(r.key)
-    elif r.kind == "o" and r.initials:
-        out.add(f"a|{r.lead}|{r.initials}")
-    return out
+def weak_forms(key: str) -> set[str]:
+    """The partial names that may mean this name (whole, or an initial and a word)."""
+    kind, *rest = key.split("|")
+    if kind == "i":
+        return {f"w|{rest[1]}"}
+    if kind == "w":
+        return {key}
+    kind, words = parts(key)
+    if kind == "p":
+        return {f"w|{w}" for w in words} | {f"i|{w[0]}|{x}" for i, w in enumerate(words) for j, x in enumerate(words) if i != j}
+    return {f"w|{words[0]}", f"a|{words[0]}|{_initials(words[1:])}"}
+
+
+def tried_forms(key: str) -> set[str]:
+    """The forms under which a partial name is looked up."""
+    kind, *rest = key.split("|")
+    if kind == "a":
+        return {f"a|{rest[0]}|{_initials(list(rest[1]))}"}
+    joined = kind == "w" and len(rest[0]) > 5  # an initial written together with the surname
+    return {key, f"i|{rest[0][0]}|{rest[0][1:]}"} if joined else {key}
 
 
 def mistyped(w: str) -> set[str]:
     """Every word one mistyped letter away, none for short words."""
     if len(w) < 6:
         return set()
-    letters = "abcdefghijklmnopqrstuvwxyz"
+    letters = "abcdefghijklmnopqrstuvwxyz" if w.isascii() else "".join(sorted(set(w)))
     cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
     out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
     out |= {a + c + b for a, b in cuts for c in letters} | {a + c + b[1:] for a, b in cuts if b for c in letters}
@@ -227,49 +284,83 @@ def mistyped(w: str) -> set[str]:
 
 def mistyped_keys(key: str) -> set[str]:
     """The partial names that a partial name may be a mistyped form of."""
-    parts = key.split("|")
-    at = 2 if parts[0] == "i" else 1
-    return {"|".join([*parts[:at], w, *parts[at + 1 :]]) for w in mistyped(parts[at])}
+    kind, *rest = key.split("|")
+    at = 1 if kind == "i" else 0
+    if kind == "a":
+        rest[1] = _initials(list(rest[1]))
+    return {"|".join([kind, *rest[:at], w, *rest[at + 1 :]]) for w in mistyped(rest[at])}
 
 
-def same_whole(a: Reading, b: Reading) -> bool:
-    """Whether two whole names that share a strong form differ by mistyping only."""
-    if a.kind != b.kind:
-        return False
-    if a.kind == "p":
-        if len(a.words) != len(b.words):
-            return False
-        orders = (b.words, b.words[::-1])
-        return any(sum(x != y for x, y in zip(a.words, o)) <= 1 and all(alike(x, y) for x, y in zip(a.words, o)) for o in orders)
-    if a.stems == b.stems:
-        return alike(a.lead, b.lead)
-    left, right = list(a.stems), list(b.stems)
-    for s in a.stems:
-        if s in right:
-            left.remove(s)
-            right.remove(s)
-    return a.lead == b.lead and len(left) == len(right) == 1 and len(left[0]) == len(right[0]) == PREFIX and distance(left[0], right[0], 1) <= 1
-
-
-def _rows(names: DataFrame, make, schema: str) -> DataFrame:
-    """Runs ``make(name) -> iterable of tuples`` over distinct names."""
-    types = [f.split()[1] for f in schema.split(", ")]
-    arrow = {"string": pa.string(), "int": pa.int32()}
+def compare(a: str, b: str) -> tuple[str, str | None, str | None] | None:
+    """How two whole names that share a form are related: (how, word, word), or None if they are not.
+
+    how is ``same`` (equal but for one mistyped word, which is named), ``abbr``
+    (a abbreviates b), ``rbba`` (b abbreviates a) or ``both`` (two abbreviations that agree).
+    """
+    kind, left = parts(a)
+    other, right = parts(b)
+    if kind != other or len(left) != len(right):
+        return None
+    if kind == "p":
+        x, y = list(left), list(right)
+        for w in left:
+            if w in y:
+                x.remove(w)
+                y.remove(w)
+        return ("same", x[0], y[0]) if len(x) == 1 and alike(x[0], y[0]) else None
+    differing = [] if left[0] == right[0] else [(left[0], right[0])]
+    x, y = left[1:], right[1:]
+    for w in left[1:]:
+        if w in y:
+            x.remove(w)
+            y.remove(w)
+    cut_a = cut_b = False
+    for w in list(x):
+        for v in y:
+            short_a, short_b = w.endswith(".") and v.startswith(w[:-1]), v.endswith(".") and w.startswith(v[:-1])
+            if short_a or short_b:
+                cut_a, cut_b = cut_a or short_a, cut_b or short_b
+                x.remove(w)
+                y.remove(v)
+                break
+    if len(x) == 1 and not differing and min(len(x[0]), len(y[0])) >= 5 and not (x[0] + y[0]).count(".") and distance(x[0], y[0], 1) <= 1:
+        differing, x = [(x[0], y[0])], []
+    if x or differing and not alike(*differing[0]):
+        return None
+    still_cut = any(w.endswith(".") for w in left[1:]), any(w.endswith(".") for w in right[1:])
+    how = "both" if all(still_cut) else "abbr" if cut_a or still_cut[0] else "rbba" if cut_b or still_cut[1] else "same"
+    return how, *(differing[0] if differing else (None, None))
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+
+
+def _rows(df: DataFrame, make, schema: str) -> DataFrame:
+    """Runs ``make(*row) -> iterable of tuples`` over the rows."""
+    fields = [f.split() for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [t for n in b.column(0).to_pylist() for t in make(n)]
-            cols = list(zip(*out)) if out else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(cols, types)], [f.split()[0] for f in schema.split(", ")])
+            out = [t for row in zip(*(c.to_pylist() for c in b.columns)) for t in make(*row)]
+            cols = list(zip(*out)) if out else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(cols, fields)], [n for n, _ in fields])
+
+    return df.mapInArrow(run, schema)
+
 
-    return names.mapInArrow(run, schema)
+def _hashed(forms: set[str]) -> set[int]:
+    """64-bit hashes of forms; what they join is checked or counted by full words."""
+    return {xxhash.xxh64_intdigest(f) - (1 << 63) for f in forms}
+
+
+def _words(c: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{3,})"), 1))
 
 
 def other_words(entities: DataFrame, name: str, kind: str, most: float = 3.0, least: int = 3) -> DataFrame:
     """(word): words that stand mostly in entities of types other than person and organisation."""
     ours = F.lower(F.coalesce(F.col(kind), F.lit(""))).rlike("^(person|org)")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(name)), F.lit("([a-z]{3,})"), 1))
-    rows = entities.where(F.col(kind).isNotNull()).select(ours.cast("int").alias("ours"), F.explode(words).alias("word"))
+    rows = entities.where(F.col(kind).isNotNull()).select(ours.cast("int").alias("ours"), F.explode(_words(F.col(name))).alias("word"))
     counts = rows.groupBy("word").agg(F.sum("ours").alias("ours"), F.count("*").alias("n"))
     return counts.where((F.col("n") - F.col("ours") >= least) & (F.col("n") - F.col("ours") > most * F.col("ours"))).select("word")
 
@@ -292,13 +383,43 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def _only(matches: DataFrame, key: str, value: str) -> DataFrame:
-    """The keys that lead to one value only: the rarest forms, which score 1 / 1."""
-    return matches.groupBy(key).agg(F.min(value).alias(value), F.max(value).alias("_other")).where(F.col(value) == F.col("_other")).select(key, value)
+def _leads(forms: DataFrame) -> DataFrame:
+    """(form, to, n): the identity that a form leads to and how many share the form; its score is 1 / n."""
+    return forms.select("form", "to").distinct().groupBy("form").agg(F.min("to").alias("to"), F.count("*").alias("n"))
+
+
+def _fit(tried: DataFrame, leads: DataFrame) -> DataFrame:
+    """(id, key, to, n) of (id, key, form): the identity all forms of an id lead to; n is null if there is none."""
+    fitting = tried.join(leads, "form", "left").groupBy("id", "key").agg(F.min("to").alias("to"), F.max("to").alias("_to"), F.max("n").alias("n"))
+    return fitting.select("id", "key", "to", F.when(F.col("to") < F.col("_to"), F.greatest("n", F.lit(2))).otherwise(F.col("n")).alias("n"))
+
+
+def _rare(n: Column, other: Column) -> Column:
+    """Whether a word with n bearers may be a mistyped one with ``other`` bearers."""
+    return n <= F.when(n <= FEW, F.greatest(F.lit(1), other / 4)).otherwise(other / 20)
+
+
+def _mistypings(same: DataFrame, typo) -> DataFrame:
+    """(a, b): each mistyped spelling with the name it is meant for.
+
+    That is the nearest one with more bearers; where two such names are equally
+    near, neither is taken. Spellings without such a name are linked as they are.
+    """
+    way = lambda a, b, u, v: same.where(typo(u, v)).select(F.col(a).alias("r"), F.col(b).alias("p"), F.col(f"n_{u}").alias("n_r"), F.col(f"n_{v}").alias("n_p"), "far")
+    directed = way("a", "b", "u", "v").unionByName(way("b", "a", "v", "u"))
+    # As many as there are spellings one or two letters from r.
+    near = directed.where("n_p > n_r").groupBy("r").agg(F.min(F.struct("far", -F.col("n_p"), "p")).alias("best"), F.collect_list(F.struct("far", "n_p")).alias("all"))
+    n = -F.col("best.col2")
+    rival = lambda x: (x.far == F.col("best.far")) & ~_rare(x.n_p, n)
+    near = stage(near.select("r", F.col("best.p").alias("p"), (F.size(F.filter("all", rival)) == 1).alias("clear")))
+    level = directed.where("n_p = n_r").select(F.least("r", "p").alias("r"), F.greatest("r", "p").alias("p")).distinct()
+    for c in ("r", "p"):
+        level = level.join(near.select(F.col("r").alias(c)), c, "left_anti")
+    return near.where("clear").select(F.col("r").alias("a"), F.col("p").alias("b")).unionByName(level.select(F.col("r").alias("a"), F.col("p").alias("b")))
 
 
 def identities(entities: DataFrame, nicknames: DataFrame, entity_id: str = "entity_id", name: str = "name", clean: str = "canonical_name", kind: str = "entity_type", nick: str = "nickname", given: str = "given_name") -> DataFrame:
-    """(id, identity) of the entities whose name is a person's or an organisation's.
+    """(id, identity, kind, score) of every entity with a name; score 1 links the ids of one identity.
 
     The nickname list is a fixed table of known short names; it is read once and
     its size is checked.
@@ -310,81 +431,96 @@ def identities(entities: DataFrame, nicknames: DataFrame, entity_id: str = "enti
     known: dict[str, set[str]] = {}
     for r in listed:
         known.setdefault(fold(r[0]), set()).add(fold(r[1]))
-    shared = spark.sparkContext.broadcast(known)
+    held = spark.sparkContext.broadcast((known, set(known).union(*known.values())))
 
     rows = entities.select(F.col(entity_id).cast("string").alias("id"), F.col(name).alias("name"), F.col(clean).alias("clean"), F.col(kind).alias("kind")).where("id is not null")
-    typed = rows.select("id", F.explode(F.array("name", "clean")).alias("name")).where("trim(name) <> ''").distinct()
-    names = typed.select("name").distinct()
+    says_org = F.coalesce(F.lower("kind").startswith("org"), F.lit(False))
+    typed = rows.select("id", F.explode(F.array("name", "clean")).alias("name"), says_org.alias("says_org")).where("trim(name) <> ''")
 
-    def read(n: str):
+    def read(n: str, org: bool):
         r = Reading(n)
-        if r.layer >= 0:
-            yield n, r.key, r.kind, r.layer
-
-    parsed = cut(_rows(names, read, "name string, key string, kind string, layer int"))
-    # Names of other things: they look like people ("Lake X", "X cluster").
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{3,})"), 1))).alias("word")
-    foreign = parsed.where("kind = 'p'").select("name", word).join(other_words(rows, "name", "kind"), "word", "left_semi").select("name").distinct()
-    parsed = cut(parsed.join(foreign, "name", "left_anti"))
-    links = typed.join(parsed, "name").select("id", "key", "kind", "layer").distinct()
-
-    # One name stands for all that read alike.
-    nodes = parsed.groupBy("key", "layer").agg(F.min("name").alias("name"))
-    whole = cut(nodes.where("layer = 0"))
-
-    # Layer 0: strong forms, checked pairwise.
-    forms = _rows(whole.select("name"), lambda n: ((n, f) for f in strong_forms(Reading(n))), "name string, form string").distinct()
-    pairs = forms.select("form", F.col("name").alias("a")).join(forms.select("form", F.col("name").alias("b")), "form").where("a < b").select("a", "b").distinct()
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            read_of = {n: Reading(n) for c in (0, 1) for n in b.column(c).to_pylist()}
-            ok = [same_whole(read_of[x], read_of[y]) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield b.filter(pa.array(ok, pa.bool_()))
-
-    alike_names = pairs.mapInArrow(check, "a string, b string")
-    by_name = whole.select("name", "key")
-    edges = alike_names.join(by_name.withColumnRenamed("name", "a").withColumnRenamed("key", "ka"), "a").join(by_name.withColumnRenamed("name", "b").withColumnRenamed("key", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+        yield n, r.key, "o" if r.kind == "x" and org else r.kind, r.layer
+
+    parsed = stage(_rows(typed.groupBy("name").agg(F.max("says_org")), read, "name string, key string, kind string, layer int"))
+    # Names of other things: they look like people ("Lake X", "X cluster") or have a number.
+    foreign = parsed.where("kind = 'p' or layer = -1").select("name", F.explode(_words(F.col("name"))).alias("word")).join(other_words(rows, "name", "kind"), "word", "left_semi").select("name", F.lit(True).alias("foreign")).distinct()
+    sorted_out = parsed.join(foreign, "name", "left").select(
+        "name", F.when(F.col("foreign") & (F.col("layer") >= 0), F.concat(F.lit("x|"), "key")).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("foreign"), "x").otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("foreign"), -1).otherwise(F.col("layer")).alias("layer"))
+    links = stage(typed.select("id", "name").join(sorted_out, "name").select("id", "key", "kind", "layer").distinct())
+
+    # Layer 0: strong forms, checked pairwise by full words and by the rarity of the word that differs.
+    whole = stage(links.where("layer = 0").select("key").distinct())
+    forms = _rows(whole, lambda k: ((k, f) for f in _hashed(strong_forms(k))), "key string, form long")
+    pairs = forms.withColumnRenamed("key", "a").join(forms.withColumnRenamed("key", "b"), "form").where("a < b").select("a", "b").distinct()
+
+    def check(a: str, b: str):
+        if found := compare(a, b):
+            how, u, v = found
+            lead = "o:" if a.startswith("o|") else "p:"
+            fixed = lead == "p:" and u in held.value[1], lead == "p:" and v in held.value[1]
+            if not all(fixed):
+                far = 0 if u is None else 1 if lookalike(u) == lookalike(v) else distance(u, v)
+                yield (b, a, "abbr") if how == "rbba" else (a, b, how), u and lead + u, v and lead + v, *fixed, far
+
+    checked = _rows(pairs, lambda a, b: ((*p, *rest) for p, *rest in check(a, b)), "a string, b string, how string, u string, v string, fixed_u boolean, fixed_v boolean, far int")
+    bearers = _rows(whole, lambda k: ((f"{k[0]}:{w}", rest) for w, rest in borne_words(k)), "word string, bearer string").distinct().groupBy("word").agg(F.count("*").alias("n"))
+    u, v = (bearers.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in "uv")
+    typo = lambda x, y: ~F.col(f"fixed_{x}") & _rare(F.col(f"n_{x}"), F.col(f"n_{y}"))
+    related = stage(checked.join(u, "u", "left").join(v, "v", "left").where(F.col("u").isNull() | typo("u", "v") | typo("v", "u")))
+    joined = _mistypings(related.where("how = 'same' and u is not null"), typo).unionByName(related.where("how = 'same' and u is null").select("a", "b"))
     # An entity's two names are one identity.
-    own = links.where("layer = 0").select("id", "key")
-    edges = edges.unionByName(own.select("id", F.col("key").alias("a")).join(own.select("id", F.col("key").alias("b")), "id").select("a", "b"))
-    labels = components(edges.unionByName(by_name.select(F.col("key").alias("a"), F.col("key").alias("b"))))
-
-    # Short given names lead to the one identity they can mean.
-    named = whole.join(labels.withColumnRenamed("node", "key"), "key")
-    short = _rows(named.select("name"), lambda n: ((n, f) for f in short_forms(Reading(n), shared.value)), "name string, form string")
-    full = _rows(named.select("name"), lambda n: ((n, f) for f in long_forms(Reading(n))), "name string, form string")
-    meant = full.join(named.select("name", "label"), "name").select("form", F.col("label").alias("to")).distinct()
-    steps = short.join(named.select("name", "label"), "name").join(meant, "form").where("label <> to").select("label", "to").distinct()
-    labels2 = components(_only(steps, "label", "to").select(F.col("label").alias("a"), F.col("to").alias("b")).unionByName(labels.select(F.col("label").alias("a"), F.col("label").alias("b"))))
-    identity = cut(labels.join(labels2.select(F.col("node").alias("label"), F.col("label").alias("identity")), "label").select(F.col("node").alias("key"), "identity"))
-
-    # Entities with a whole name, then initials and acronyms, then single words.
-    placed = cut(links.where("layer = 0").join(identity, "key").groupBy("id").agg(F.min("identity").alias("identity")))
-    forms_of = _rows(whole.select("name"), lambda n: ((n, f) for f in weak_forms(Reading(n))), "name string, form string")
-    leads = forms_of.join(whole.select("name", "key"), "name").join(identity, "key").select("form", "identity").distinct()
+    own = links.where("layer = 0").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1")
+    more = links.where("layer = 0").join(own.where("n > 2").select("id", "a"), "id").select("a", F.col("key").alias("b"))
+    labels = components(joined.unionByName(own.select("a", "b")).unionByName(more).where("a <> b"))
+    named = stage(whole.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+
+    # Abbreviations, short given names and left-out middle names lead to the one identity they can mean.
+    short = _rows(named, lambda k, label: ((label, f) for f in _hashed(short_forms(k, held.value[0]))), "label string, form long")
+    full = _rows(named, lambda k, label: ((label, f) for f in _hashed(long_forms(k))), "to string, form long")
+    from_short = short.join(full, "form").select("label", "to")
+    label = lambda c, to: named.select(F.col("key").alias(c), F.col("label").alias(to))
+    from_cut = related.where("how = 'abbr'").join(label("a", "label"), "a").join(label("b", "to"), "b").select("label", "to")
+    meant = from_short.unionByName(from_cut).where("label <> to").distinct().groupBy("label").agg(F.min("to").alias("to"), F.count("*").alias("n"))
+    meant = stage(meant)
+    agreeing = related.where("how = 'both'").join(label("a", "x"), "a").join(label("b", "y"), "b").select("x", "y").distinct()
+    lost = meant.select("label")
+    agreeing = agreeing.join(lost.withColumnRenamed("label", "x"), "x", "left_anti").join(lost.withColumnRenamed("label", "y"), "y", "left_anti")
+    labels = components(meant.where("n = 1").select(F.col("label").alias("a"), F.col("to").alias("b")).unionByName(agreeing.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    placed = named.join(labels.select(F.col("node").alias("label"), F.col("label").alias("identity")), "label", "left")
+    identity = stage(placed.select("key", F.coalesce("identity", "label").alias("identity")))
+
+    # Entities with a whole name; then initials and acronyms; then single words.
+    done = links.where("layer = 0").join(identity, "key").groupBy("id").agg(F.min("identity").alias("identity"), F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    letters = F.split("key", "\\|")
+    own = F.concat(F.lit("p|"), F.array_join(F.array_sort(F.slice(letters, 2, 2)), "|"))  # "Bo LI", an acronym of no organisation, is a person
+    spoken = _rows(identity, lambda k, to: ((to, f) for f in _hashed(weak_forms(k))), "to string, form long")
     for layer in (1, 2):
-        left = links.where(F.col("layer") == layer).join(placed, "id", "left_anti").select("id", "key")
-        tried = left
-        if layer == 2:  # an initial written together with the surname
-            w = F.element_at(F.split("key", "\\|"), 2)
-            joined = left.where(F.length("key") > 7).select("id", F.concat_ws("|", F.lit("i"), F.substring(w, 1, 1), w.substr(F.lit(2), F.length(w))).alias("key"))
-            tried = left.unionByName(joined)
-        fitting = tried.join(leads.withColumnRenamed("form", "key"), "key")
-        found = _only(fitting, "id", "identity")
+        open_ids = links.where(F.col("layer") == layer).join(done, "id", "left_anti")
+        kinds = open_ids.groupBy("id").agg(F.min("kind").alias("kind"))
+        leads = _leads(spoken)
+        fitted = stage(_fit(_rows(open_ids.select("id", "key"), lambda i, k: ((i, k, f) for f in _hashed(tried_forms(k))), "id string, key string, form long"), leads))
         # Those that fit nothing may be mistyped; they are few, so they are varied, not what they are compared with.
-        lost = cut(left.join(fitting.select("id").distinct(), "id", "left_anti"))
-        varied = _rows(lost.select("key").distinct(), lambda k: ((k, f) for f in mistyped_keys(k)), "key string, form string")
-        near = lost.join(varied, "key").join(leads, "form").select("id", "identity")
+        unfit = fitted.groupBy("id").agg(F.max("n").alias("n")).where("n is null").select("id")
+        varied = _rows(fitted.join(unfit, "id").select("id", "key"), lambda i, k: ((i, k, f) for f in _hashed(mistyped_keys(k) | {k})), "id string, key string, form long")
+        best = fitted.where("n is not null").unionByName(_fit(varied, leads))
+        best = best.groupBy("id").agg(F.min("key").alias("key"), F.min("to").alias("to"), F.max("to").alias("_to"), F.max("n").alias("n"))
+        n = F.when(F.col("to") < F.col("_to"), F.greatest("n", F.lit(2))).otherwise(F.coalesce("n", F.lit(1)))
         # Forms that lead nowhere are identities of their own, shared by the entities that have them.
-        alone = lost.join(near.select("id").distinct(), "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"))
-        placed = cut(placed.unionByName(found).unionByName(_only(near, "id", "identity")).unionByName(alone))
+        ends = F.when(F.col("key").startswith("a|"), own).otherwise(F.col("key"))
+        new = stage(best.join(kinds, "id").select("id", F.when(n == 1, F.coalesce("to", ends)).otherwise(F.col("key")).alias("identity"), "kind", (1 / n).alias("score"), F.col("to").isNull().alias("alone")))
         if layer == 1:
-            leads = leads.unionByName(alone.select(F.concat(F.lit("w|"), F.element_at(F.split("identity", "\\|"), F.when(F.col("identity").startswith("i|"), 3).otherwise(2))).alias("form"), "identity")).distinct()
-    return placed
+            alone = new.where("alone").select("identity").distinct()
+            spoken = spoken.unionByName(_rows(alone, lambda k: ((k, f) for f in _hashed(weak_forms(k))), "to string, form long"))
+        new = new.drop("alone")
+        done = stage(done.unionByName(new))
+    rest = links.where("layer = -1").join(done, "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"), F.min("kind").alias("kind"))
+    return done.unionByName(rest.withColumn("score", F.lit(1.0)))
 
 
 def name_pairs(placed: DataFrame) -> DataFrame:
-    """(entity_a, entity_b): pairs of ids of one identity."""
-    a, b = placed.select("identity", F.col("id").alias("entity_a")), placed.select("identity", F.col("id").alias("entity_b"))
+    """(entity_a, entity_b): pairs of ids of one person or organisation."""
+    sure = placed.where((F.col("kind") != "x") & (F.col("score") == 1))
+    a, b = sure.select("identity", F.col("id").alias("entity_a")), sure.select("identity", F.col("id").alias("entity_b"))
     return a.join(b, "identity").where("entity_a < entity_b").select("entity_a", "entity_b").distinct()

@@ -37,7 +37,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_identities(spark: SparkSession, d: str) -> DataFrame:
-    return _identities(spark, d).select(F.col("id").alias("entity_id"), "identity")
+    return _identities(spark, d).select(F.col("id").alias("entity_id"), "identity", "kind", "score")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.encoding import encode_texts
-from graphloom.llm.leakage import contaminated, leaked_spans
+from graphloom.llm.leakage import contaminated, leaked_spans, removed_spans, without_leaks
 from graphloom.llm.names import identities, name_pairs
 from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
 from graphloom.llm.neighbours import nearest_neighbours, neighbour_pairs
@@ -95,6 +95,15 @@ def p9_removed_documents(spark: SparkSession, d: str) -> DataFrame:
     return contaminated(_spans(spark, d)).select("doc_id", "longest_run", F.round("share", 6).alias("share"))
 
 
+def p9_removed_spans(spark: SparkSession, d: str) -> DataFrame:
+    return removed_spans(_spans(spark, d)).select("doc_id", "start_word", "end_word", "whole").distinct()
+
+
+def p9_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", spread=True)
+    return without_leaks(docs, _spans(spark, d)).select("doc_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(read_table(spark, d, "documents", spread=True), "doc_id", "text", MIN_CHARS).select("doc_id", "shared_chars")
 
@@ -117,6 +126,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_removed_documents": p9_removed_documents,
+    "p9_removed_spans": p9_removed_spans,
+    "p9_clean_documents": p9_clean_documents,
     "p10_found": p10_found,
     "p10_spans": p10_spans,
 }
@@ -128,7 +139,22 @@ stats as (select term, count(*) df, sum(tf)::bigint cf from counts group by 1),
 n as (select count(*)::double n from once)
 """
 
+_LEAKS = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null),
+g as (select distinct doc_id, i, len(w) n, array_to_string(w[i:i+9], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) i from w)),
+v as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from eval_items),
+h as (select distinct item_id, j, array_to_string(w[j:j+9], ' ') g from (select item_id, w, unnest(range(1, len(w) - 8)) j from v)),
+hit as (select doc_id, n, item_id, i, i - j d from g join h using (g)),
+run as (select doc_id, item_id, d, min(i) lo, max(i) + 10 hi, max(i) - min(i) + 10 r from (select *, i - row_number() over (partition by doc_id, item_id, d order by i) grp from hit) group by doc_id, item_id, d, grp),
+pos as (select distinct doc_id, n, i from hit),
+isle as (select doc_id, n, min(i) lo, max(i) + 10 hi from (select *, sum(fresh) over (partition by doc_id order by i) grp from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 10 then 0 else 1 end fresh from pos)) group by doc_id, n, grp),
+span as (select i.doc_id, n, i.lo, i.hi, (select max(r) from run where run.doc_id = i.doc_id and run.lo >= i.lo and run.hi <= i.hi) longest from isle i),
+share as (select doc_id, max(longest)::int longest_run, sum(hi - lo)::double / max(n) share from span group by 1)
+"""
+
 ORACLES = {
+    "p9_removed_documents": _LEAKS + "select doc_id, longest_run, round(share, 6) share from share where longest_run >= 25 or share > 0.3",
+    "p9_removed_spans": _LEAKS + "select doc_id, (lo - 1)::int start_word, (hi - 1)::int end_word, share > 0.3 whole from span join share using (doc_id) where longest >= 25 or share > 0.3",
     "p4_found": _TERMS + "select chunk_id, term from counts join stats using (term) where tf >= 3 and df <= 5",
     "p4_term_weights": _TERMS + "select chunk_id, term, tf, df, cf, round(-log2(df / n) + log2(1 - exp(-cf / n)), 6) ridf from counts join stats using (term), n",
     "p5_found": """

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from graphloom.llm.encoding import TOKENIZERS, ForcedEncoder, encode_texts
-from graphloom.llm.leakage import ItemAutomaton, contaminated, leaked_spans, words
+from graphloom.llm.leakage import ItemAutomaton, contaminated, item_parts, leaked_spans, removed_spans, without_leaks, word_places, words
 from graphloom.llm.spans import shared_amount, shared_spans
 from graphloom.llm.terms import characteristic_terms, residual_idf
 
@@ -70,6 +70,56 @@ def test_leaks_nulls_blocks_and_clashing_columns(spark):
     assert words("Ab-c9K") == ["ab", "c9k"]
 
 
+def test_credit_of_each_item_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(40):
+        items = {k: [rng.choice("abc") for _ in range(rng.randint(0, 14))] for k in range(4)}
+        least = rng.randint(1, 3)
+        doc = [rng.choice("abcd") for _ in range(30)]
+        has = lambda seq, run: any(seq[i : i + len(run)] == run for i in range(len(seq) - len(run) + 1))
+        want = set()
+        for e in range(len(doc)):
+            for k, s in items.items():
+                n = max([n for n in range(e + 2) if has(s, doc[e + 1 - n : e + 1])], default=0)
+                if n >= least:
+                    want.add((e, k, n))
+        assert set(ItemAutomaton(items, least).credits(doc)) == want
+
+
+def test_blocks_of_items_do_not_change_what_is_removed(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["alpha", "beta", "gamma", "delta", "eta", "theta"])
+    own = [" ".join(word() for _ in range(n)) for n in (30, 40, 15, 60, 2500)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(9, own[0])], "item_id long, text string")
+    docs = [(k, " Start. ".join(" ".join(rng.choice(own).split()[(a := rng.randint(0, 12)) : a + rng.randint(8, 40)]).title() + ", own words" * rng.randint(0, 30) for _ in range(3))) for k in range(60)]
+    df = spark.createDataFrame([*docs, (70, None), (71, own[4]), (72, "İ" * 5 + own[1])], "doc_id long, text string")
+    one, many = leaked_spans(df, items), leaked_spans(df, items, max_words=90)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(contaminated(one)) == rows(contaminated(many)) and one.count() > 30
+    assert rows(removed_spans(one).drop("text_hash")) == rows(removed_spans(many).drop("text_hash"))
+    cleaned = {r.doc_id: r.text for r in without_leaks(df, one).collect()}
+    gone = {(r.doc_id, r.whole, r.start, r.end) for r in removed_spans(one).collect()}
+    for k, t in [*docs, (72, "İ" * 5 + own[1])]:
+        cuts = sorted((a, b) for d, whole, a, b in gone if d == k)
+        if any(whole for d, whole, _, _ in gone if d == k):
+            assert k not in cleaned
+        else:
+            left, at = [], 0
+            for a, b in cuts:
+                left.append(t[at:a])
+                at = b
+            assert cleaned[k] == " ".join([*left, t[at:]])
+    assert cleaned[70] is None and 71 not in cleaned
+
+
+def test_parts_and_places():
+    seq = [str(i) for i in range(25)]
+    got = item_parts(seq, 10, 4)
+    assert all(len(p) <= 10 for p in got) and got[0] == seq[:10] and got[-1][-1] == "24"
+    assert all(any(seq[i : i + 4] == p[j : j + 4] for p in got for j in range(len(p) - 3)) for i in range(22))
+    assert word_places("İst İx ab") == [(0, 1), (1, 3), (4, 5), (5, 6), (7, 9)]
+
+
 def brute_spans(docs, n):
     where = {}
     for d, t in docs:

@@ -10,6 +10,7 @@ from graphloom.llm.leakage import contaminated, leaked_spans, removed_spans, wit
 from graphloom.llm.names import identities, name_pairs
 from graphloom.llm.nearcopies import similar_groups, similar_pairs, text_rows
 from graphloom.llm.neighbours import nearest_neighbours, neighbour_pairs
+from graphloom.llm.ranking import fuse_rankings, strong_everywhere
 from graphloom.llm.spans import MIN_CHARS, shared_spans, shared_amount
 from graphloom.llm.template import clean_pages, equivalence_classes, page_blocks
 from graphloom.llm.terms import characteristic_terms, residual_idf
@@ -79,6 +80,21 @@ def p6_template_classes(spark: SparkSession, d: str) -> DataFrame:
     return equivalence_classes(read_table(spark, d, "source_documents", spread=True), *_PAGE)
 
 
+SCORES = ["vector_score", "bm25_score", "fused_score"]
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    return fuse_rankings(read_table(spark, d, "retrieval_results"), "query_id", "chunk_id", SCORES)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return strong_everywhere(_fused(spark, d), SCORES).select("query_id", "chunk_id")
+
+
+def p7_fused_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select("query_id", "chunk_id", *[f"{s}_pos" for s in SCORES], "rrf", "rank")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(read_table(spark, d, "documents", spread=True), "doc_id", "text")
 
@@ -123,6 +139,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_clean_text": p6_clean_text,
     "p6_template_classes": p6_template_classes,
+    "p7_found": p7_found,
+    "p7_fused_ranking": p7_fused_ranking,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_removed_documents": p9_removed_documents,
@@ -139,6 +157,14 @@ stats as (select term, count(*) df, sum(tf)::bigint cf from counts group by 1),
 n as (select count(*)::double n from once)
 """
 
+_POS = """
+with once as (select query_id, chunk_id, max(case when isnan(vector_score) then null else vector_score end) vector_score,
+  max(case when isnan(bm25_score) then null else bm25_score end) bm25_score,
+  max(case when isnan(fused_score) then null else fused_score end) fused_score from retrieval_results group by 1, 2),
+pos as (select query_id, chunk_id, """ + ", ".join(
+    f"case when {s} is not null then rank() over (partition by query_id order by {s} desc nulls last) end {s}_pos, count({s}) over (partition by query_id) {s}_n" for s in SCORES
+) + " from once)"
+
 _LEAKS = """
 with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents where text is not null),
 g as (select distinct doc_id, i, len(w) n, array_to_string(w[i:i+9], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 8)) i from w)),
@@ -153,6 +179,8 @@ share as (select doc_id, max(longest)::int longest_run, sum(hi - lo)::double / m
 """
 
 ORACLES = {
+    "p7_found": _POS + " select query_id, chunk_id from pos where vector_score_n + bm25_score_n + fused_score_n > 0 and " + " and ".join(f"({s}_n = 0 or coalesce({s}_pos <= ceil({s}_n / 4.0), false))" for s in SCORES),
+    "p7_fused_ranking": _POS + " select *, rank() over (partition by query_id order by rrf desc) \"rank\" from (select query_id, chunk_id, " + ", ".join(f"{s}_pos" for s in SCORES) + ", round(" + " + ".join(f"coalesce(1.0::double / (60 + {s}_pos), 0.0)" for s in SCORES) + ", 9) rrf from pos)",
     "p9_removed_documents": _LEAKS + "select doc_id, longest_run, round(share, 6) share from share where longest_run >= 25 or share > 0.3",
     "p9_removed_spans": _LEAKS + "select doc_id, (lo - 1)::int start_word, (hi - 1)::int end_word, share > 0.3 whole from span join share using (doc_id) where longest >= 25 or share > 0.3",
     "p4_found": _TERMS + "select chunk_id, term from counts join stats using (term) where tf >= 3 and df <= 5",

@@ -31,16 +31,31 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, letters: int) -> Data
 
 
 def residual_idf(df: DataFrame, id_col: str, text_col: str, letters: int = 1) -> DataFrame:
-    """(id, term, tf, df, cf, ridf, weight) of every term of every record."""
+    """(id, term, tf, df, cf, n, ridf, weight) of every term of every record; n is the number of records."""
     counts = term_counts(df, id_col, text_col, letters)
     n = df.where(F.col(id_col).isNotNull()).agg(F.countDistinct(id_col).alias("n"))
     stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     by_chance = 1 - F.exp(-F.col("cf") / F.col("n"))
     ridf = -F.log2(F.col("df") / F.col("n")) + F.log2(by_chance)
-    scored = stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", ridf.alias("ridf"))  # n is one row
+    scored = stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", "n", ridf.alias("ridf"))  # n is one row
     return counts.join(scored, "term").withColumn("weight", F.col("tf") * F.col("ridf"))
 
 
+def least_weight(min_tf: int, max_df: int) -> Column:
+    """The least weight of a term that a record repeats min_tf times and at most max_df records have.
+
+    Such a term has cf >= df + min_tf - 1. Its residual idf is least for df = max_df,
+    since n (1 - exp(-cf / n)) is concave in cf.
+    """
+    n = F.col("n")
+    return min_tf * F.log2(n * (1 - F.exp(-(max_df + min_tf - 1) / n)) / max_df)
+
+
 def characteristic_terms(scored: DataFrame, min_tf: int = 3, max_df: int = 5) -> DataFrame:
-    """Terms that their record repeats and that at most ``max_df`` records have."""
-    return scored.where((F.col("tf") >= min_tf) & (F.col("df") <= max_df))
+    """Terms whose weight reaches that of ``min_tf`` occurrences in a record, shared by ``max_df`` records.
+
+    The weight alone also lets in terms that more records have and repeat still more
+    often; the two limits are checked after it.
+    """
+    heavy = scored.where(F.col("weight") >= least_weight(min_tf, max_df) - 1e-9)
+    return heavy.where((F.col("tf") >= min_tf) & (F.col("df") <= max_df))

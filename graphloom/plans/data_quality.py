@@ -1,11 +1,9 @@
-"""The queries p2_ and p7_ with their SQL."""
+"""The queries p2_ with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from graphloom.operators.ranking import fuse_rankings, strong_everywhere
 from graphloom.operators.references import Reference, Target, orphan_counts, orphan_references
 from graphloom.sources.tables import read_table
 
@@ -20,7 +18,6 @@ TARGETS = [
     Target("entities", "entity_id", "ingested_at", "entity"),
     Target("chunks", "chunk_id", "ingested_at", "chunk"),
 ]
-SCORES = ["vector_score", "bm25_score", "fused_score"]
 
 
 def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -35,18 +32,6 @@ def p2_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_tables(spark, d), REFERENCES, TARGETS, read_table(spark, d, "deleted_records"))
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fuse_rankings(read_table(spark, d, "retrieval_results"), "query_id", "chunk_id", SCORES)
-
-
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return strong_everywhere(_fused(spark, d), SCORES).select("query_id", "chunk_id")
-
-
-def p7_fused_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select("query_id", "chunk_id", *[f"{s}_pos" for s in SCORES], F.round("rrf", 9).alias("rrf"))
-
-
 _TRIM = "lower(trim({0}, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)))"
 
 
@@ -71,19 +56,9 @@ lost as (select distinct ref_table, ref_id, ref_field, k missing_key, strftime(t
   where k <> '' and not exists (select 1 from living l where l.kind = r.kind and l.k = r.k))
 """
 
-_POS = """
-with once as (select query_id, chunk_id, max(case when isnan(vector_score) then null else vector_score end) vector_score,
-  max(case when isnan(bm25_score) then null else bm25_score end) bm25_score,
-  max(case when isnan(fused_score) then null else fused_score end) fused_score from retrieval_results group by 1, 2),
-pos as (select query_id, chunk_id, """ + ", ".join(
-    f"case when {s} is not null then rank() over (partition by query_id order by {s} desc nulls last) end {s}_pos, count({s}) over (partition by query_id) {s}_n" for s in SCORES
-) + " from once)"
-
-QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts, "p7_found": p7_found, "p7_fused_ranking": p7_fused_ranking}
+QUERIES = {"p2_found": p2_found, "p2_orphan_counts": p2_orphan_counts}
 
 ORACLES = {
     "p2_found": _ORPHANS + "select * from lost",
     "p2_orphan_counts": _ORPHANS + 'select ref_table, ref_field, "period", count(*) orphan_refs, count(distinct missing_key) orphan_keys from lost group by 1, 2, 3',
-    "p7_found": _POS + " select query_id, chunk_id from pos where vector_score_n + bm25_score_n + fused_score_n > 0 and " + " and ".join(f"({s}_n = 0 or coalesce({s}_pos <= ceil({s}_n / 4.0), false))" for s in SCORES),
-    "p7_fused_ranking": _POS + " select query_id, chunk_id, " + ", ".join(f"{s}_pos" for s in SCORES) + ", round(" + " + ".join(f"coalesce(1.0::double / (60 + {s}_pos), 0.0)" for s in SCORES) + ", 9) rrf from pos",
 }

@@ -4,6 +4,7 @@ import pytest
 from graphloom.llm import neighbours as nb
 
 W = 8
+BRANCHES_AT_A_TIE = 8  # leaves below one node may be reached in any order
 
 
 def exact(rows, k):
@@ -54,3 +55,29 @@ def test_recall_against_brute_force_over_many_cells(spark):
 def test_large_leaf_is_split_over_cells():
     first, many = nb._cells({0: 10, 1: 95, 2: 10, 3: 15, 4: 20}, 5, 30)
     assert many.tolist() == [1, 4, 1, 1, 1] and first.tolist() == [0, 1, 5, 5, 6]
+
+
+def test_subtrees_and_copies_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(nb, "TOP", 6)
+    monkeypatch.setattr(nb, "PER_LEAF", 8)
+    rows = clustered(1500, 4)
+    got, want = pairs(spark, rows, sample=200, leaf_rows=20, cell_rows=200, cell_queries=150), exact(rows, 10)
+    assert len(got & want) / len(want) > 0.97
+
+
+def test_grafted_tree_keeps_every_leaf():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, W))
+    top = nb.Tree(x, 5)
+    leaf = top.assign(x.astype("f4"))
+    whole = top.graft({v: nb.Tree(x[leaf == v], 4, seed=v) for v in range(top.leaves) if v != 2})
+    assert sorted(v for v in whole.leaf_of if v >= 0) == list(range(whole.leaves)) and whole.leaves > 3 * top.leaves
+    assert set(whole.assign(x.astype("f4"))) == set(range(whole.leaves))
+    assert sorted(whole.best_bins(whole.distances(x[:1])[0], 10**6)) == list(range(whole.leaves))
+    d = whole.distances(rng.normal(size=(50, W)).astype("f4"))
+    for visits in (1, 3, 7, whole.leaves):
+        leaves, owner = whole.first_bins(d, visits)
+        for i, row in enumerate(d):
+            assert set(leaves[owner == i]) == set(whole.best_bins(row, visits)) or visits < whole.leaves
+            order = whole.best_bins(row, whole.leaves)
+            assert max(order.index(v) for v in leaves[owner == i]) < visits + BRANCHES_AT_A_TIE

@@ -3,9 +3,15 @@
 Method: MinHash samples of a text's word shingles are used twice. In bands they
 propose candidate pairs; folded into an odd sketch (each sample flips one bit
 of a bitmap) they estimate the similarity of each candidate from the population
-count of the XOR of two bitmaps. Candidates whose estimate lies far below the
-threshold are dropped before the long shingle lists are fetched, and the exact
-Jaccard similarity decides the rest.
+count of the XOR of two bitmaps. The estimate decides unless it lies within
+``SLACK`` (over four standard deviations) of the threshold; only for these
+pairs the long shingle lists are fetched and the exact Jaccard similarity taken.
+
+Texts that share boilerplate meet in bands although they are not alike. A band
+of more than ``hot_band`` classes proposes no pairs. Its classes are paired by
+their rarest shingles instead, which loses nothing: two sets of similarity t or
+more share one of their |x| - ceil(t |x|) + 1 rarest elements, in whichever
+order all elements are ranked.
 
 Texts with equal word sequences form one class before anything is paired, so a
 hot group of copies is a single text here. Pairs are sought within a *scope*
@@ -25,13 +31,13 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import word_line
-from graphloom.session import cut, stage
+from graphloom.session import stage
 
-ROWS, BANDS, SKETCH_BITS, SLACK = 3, 64, 512, 0.25
+ROWS, BANDS, SKETCH_BITS, SLACK, HOT_BAND = 3, 64, 1024, 0.25, 300
 SLICE = 400
 
 
@@ -116,12 +122,12 @@ def _sketches_of(classes: DataFrame, width: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
-                flat, ends = shingle_sets(b.column(1).to_pylist(), width)
+                flat, ends = shingle_sets(b.column(2).to_pylist(), width)
                 odd = odd_sketches(min_samples(flat, ends, ROWS * BANDS), SKETCH_BITS)
                 sets = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(flat.view("i8")))
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(odd), sets], ["tid", "odd", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(odd), sets], ["tid", "scope", "odd", "shingles"])
 
-    return classes.select("tid", "line").mapInArrow(run, "tid long, odd array<long>, shingles array<long>")
+    return classes.select("tid", F.xxhash64("scope"), "line").mapInArrow(run, "tid long, scope long, odd array<long>, shingles array<long>")
 
 
 def odd_estimate(a: Column, b: Column, bits: int = SKETCH_BITS, samples: int = ROWS * BANDS) -> Column:
@@ -138,23 +144,53 @@ def text_rows(df: DataFrame, scope: Column, key: str, text: str, min_words: int)
     return rows.where(F.col("scope").isNotNull() & F.col("key").isNotNull() & (spaces + 1 >= min_words)).withColumn("tid", F.xxhash64("scope", "line"))
 
 
-def similar_classes(rows: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(a, b, similarity): pairs of classes of one scope at or above the threshold, a < b."""
-    as_classes = lambda df: df.groupBy("tid").agg(F.first("scope").alias("scope"), F.first("line").alias("line"))
-    banded = _bands_of(as_classes(rows), width).select("tid", F.explode("bands").alias("band"))
-    left, right = banded.select("band", F.col("tid").alias("a")), banded.select("band", F.col("tid").alias("b"))
-    candidates = cut(left.join(right, "band").where("a < b").select("a", "b").distinct())
+def _rare_pairs(details: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): pairs of sets that share one of their rarest elements, all pairs at the threshold among them."""
+    sets = details.select("tid", "scope", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    sets = sets.select("tid", "n", F.xxhash64("scope", "s").alias("s"))
+    ranked = sets.join(sets.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "s", "left")
+    place = F.row_number().over(Window.partitionBy("tid").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    first = ranked.withColumn("p", place).where((F.col("p") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1) & F.col("df").isNotNull())
+    side = lambda p: first.select("s", F.col("tid").alias(p), F.col("n").alias(f"n_{p}"))
+    sized = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    return side("a").join(side("b"), "s").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+
+
+def candidate_pairs(rows: DataFrame, width: int, threshold: float, hot_band: int = HOT_BAND) -> DataFrame:
+    """(a, b): pairs of classes that may be alike, a < b."""
+    banded = _bands_of(_as_classes(rows), width).select("tid", F.explode("bands").alias("band"))
+    # Most bands have one class; they end here, after the one shuffle of all bands.
+    shared = stage(banded.withColumn("m", F.count("*").over(Window.partitionBy("band"))).where("m > 1"))
+    cold = shared.where(F.col("m") <= hot_band)
+    left, right = cold.select("band", F.col("tid").alias("a")), cold.select("band", F.col("tid").alias("b"))
+    pairs = left.join(right, "band").where("a < b").select("a", "b")
+    hot = shared.where(F.col("m") > hot_band).select("tid").distinct()
+    if not hot.isEmpty():
+        scoped = rows.join(hot, "tid", "left_semi")
+        pairs = pairs.unionByName(_rare_pairs(stage(_sketches_of(_as_classes(scoped), width)), threshold))
+    return pairs.distinct()
+
+
+def _as_classes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tid").agg(F.first("scope").alias("scope"), F.first("line").alias("line"))
+
+
+def similar_classes(rows: DataFrame, width: int, threshold: float, hot_band: int = HOT_BAND) -> DataFrame:
+    """(a, b): pairs of classes of one scope at or above the threshold, a < b."""
+    candidates = stage(candidate_pairs(rows, width, threshold, hot_band))
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    details = cut(_sketches_of(as_classes(rows.join(wanted, "tid", "left_semi")), width))
+    details = stage(_sketches_of(_as_classes(rows.join(wanted, "tid", "left_semi")), width))
     side = lambda p, c: details.select(F.col("tid").alias(p), F.col(c).alias(f"{c}_{p}"))
-    likely = candidates.join(side("a", "odd"), "a").join(side("b", "odd"), "b").where(odd_estimate(F.col("odd_a"), F.col("odd_b")) >= threshold - SLACK)
-    pairs = likely.select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
+    estimated = candidates.join(side("a", "odd"), "a").join(side("b", "odd"), "b").select("a", "b", odd_estimate(F.col("odd_a"), F.col("odd_b")).alias("estimate"))
+    estimated = stage(estimated.where(F.col("estimate") >= threshold - SLACK))
+    sure = estimated.where(F.col("estimate") >= threshold + SLACK).select("a", "b")
+    pairs = estimated.where(F.col("estimate") < threshold + SLACK).select("a", "b").join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    sim = both / (F.size("shingles_a") + F.size("shingles_b") - both)
-    return pairs.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
+    exact = both / (F.size("shingles_a") + F.size("shingles_b") - both)
+    return sure.unionByName(pairs.where(exact >= threshold).select("a", "b"))
 
 
-def similar_pairs(rows: DataFrame, width: int, threshold: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, width: int, threshold: float, hot_band: int = HOT_BAND) -> DataFrame:
     """(scope, key_a, key_b), every pair of keys whose texts are alike, key_a < key_b, distinct.
 
     Copies are expanded here, by the definition of the result; :func:`similar_groups` keeps classes.
@@ -163,7 +199,7 @@ def similar_pairs(rows: DataFrame, width: int, threshold: float) -> DataFrame:
     members = rows.groupBy("scope", "key", "tid").agg(F.lit(1).alias("one")).drop("one")
     m = lambda t, k: members.select(F.col("tid").alias(t), F.col("key").alias(k), "scope")
     same = m("t", "key_a").join(m("t", "key_b").drop("scope"), "t").where("key_a < key_b").select("scope", "key_a", "key_b")
-    classes = similar_classes(rows, width, threshold)
+    classes = similar_classes(rows, width, threshold, hot_band)
     other = classes.join(m("a", "x"), "a").join(m("b", "y").drop("scope"), "b").where("x <> y")
     other = other.select("scope", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
     return same.unionByName(other).distinct()

@@ -68,3 +68,24 @@ def test_odd_sketch_estimates(spark):
     df = spark.createDataFrame([([int(x) for x in odd[0].view("i8")], [int(x) for x in odd[1].view("i8")])], "a array<long>, b array<long>")
     est = df.select(nc.odd_estimate(F.col("a"), F.col("b"))).first()[0]
     assert z > 0 and abs(est - jaccard(" ".join(base), " ".join(other))) < 0.15
+
+
+def test_shared_boilerplate_proposes_few_pairs_and_loses_none(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    letterhead = [f"h{i}" for i in range(45)]
+    rows = []
+    for i in range(240):
+        own = [rng.choice(vocab) for _ in range(45)]
+        rows.append((f"q{i % 2}", f"k{i:03d}", " ".join(letterhead + own)))
+        if i % 8 == 0:
+            own[rng.randrange(45)] = "edited"
+            rows.append((f"q{i % 2}", f"e{i:03d}", " ".join(letterhead + own)))
+    t = nc.text_rows(spark.createDataFrame(rows, "q string, k string, text string"), F.col("q"), "k", "text", 20)
+    want = brute(rows, 0.5)
+    n = {hot: nc.candidate_pairs(t, 3, 0.5, hot).count() for hot in (10, 10**9)}
+    assert n[10] < 1000 < 5000 < n[10**9]
+    for hot in (10, 10**9):
+        assert {tuple(r) for r in nc.similar_pairs(t, 3, 0.5, hot).collect()} == want and len(want) == 30
+    plain = nc.text_rows(spark.createDataFrame(corpus(), "q string, k string, text string"), F.col("q"), "k", "text", 20)
+    assert {tuple(r) for r in nc.similar_pairs(plain, 3, 0.5, 1).collect()} == brute(corpus(), 0.5)

@@ -5,7 +5,7 @@ import pytest
 
 from graphloom.llm.encoding import TOKENIZERS, ForcedEncoder, encode_texts
 from graphloom.llm.leakage import ItemAutomaton, contaminated, item_parts, leaked_spans, removed_spans, without_leaks, word_places, words
-from graphloom.llm.spans import shared_amount, shared_spans
+from graphloom.llm.spans import segments, shared_amount, shared_spans
 from graphloom.llm.terms import characteristic_terms, residual_idf
 
 VOCAB = f"{TOKENIZERS}/byte_bpe_50k"
@@ -151,6 +151,17 @@ def test_shared_spans_against_brute_force(spark):
     assert {r.doc_id: r.shared_chars for r in shared_amount(two, "doc_id", "text", 20).collect()} == {1: len(base[0]) + 25, 2: len(base[0]), 3: 25}
 
 
+def test_long_texts_in_slices(spark):
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcd") for _ in range(900))
+    first, last, _, _ = segments(text, 20, 9)
+    assert first[0] == 0 and last[-1] == len(text) - 20 and (first[1:] == last[:-1] + 1).all() and (last - first < 9).all()
+    docs = [(1, text), (2, text[100:400] + "x" + text[450:]), (3, "y" * 70 + text[300:340])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (7, 64, 10**6):
+        assert {r.doc_id: r.shared_chars for r in shared_amount(df, "doc_id", "text", 20, most).collect()} == brute_spans(docs, 20)
+
+
 def test_terms_of_null_empty_repeated_and_tied_records(spark):
     rows = [("a", "abracadabra Abracadabra-abracadabra short"), ("a", "abracadabra Abracadabra-abracadabra short"), ("b", None), ("c", ""), (None, "abracadabra " * 9), ("d", "commonterm " * 3), *[(f"e{i}", "commonterm") for i in range(5)], ("f", "verylongterm " * 20000)]
     df = spark.createDataFrame(rows, "chunk_id string, text string").selectExpr("*", "1 as tf", "2 as df")

@@ -170,11 +170,11 @@ def _intervals(df: DataFrame, id_col: str, text_col: str, chars: int, most: int)
     """(id, tid, start, end) of shared stretches, overlapping."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tid")).where("id is not null and text is not null")
     rows = stage(_segment_rows(docs, chars, most))
-    texts = rows.groupBy("anchor", "seg").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "tid", "first", "last")).alias("rep"))
+    texts = rows.groupBy("anchor", "seg").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *[F.first(c).alias(f"rep_{c}") for c in ("id", "tid", "first", "last")])  # of one row
     anchors = texts.groupBy("anchor").agg(F.count("*").alias("n_seg"), F.min("lo").alias("a_lo"), F.max("hi").alias("a_hi")).where("a_lo <> a_hi")
-    known = stage(texts.join(anchors, "anchor").select("anchor", "seg", "lo", "hi", "rep", "n_seg"))
+    known = stage(texts.join(anchors, "anchor").select("anchor", "seg", "lo", "hi", "rep_id", "rep_tid", "rep_first", "rep_last", "n_seg"))
     whole = rows.join(known.where("lo <> hi").select("anchor", "seg"), ["anchor", "seg"]).select("id", "tid", F.col("first").alias("start"), (F.col("last") + chars).alias("end"))
-    border = known.where("n_seg > 1").select(F.col("rep.id").alias("rep_id"), "rep.tid", "rep.first", "rep.last", "anchor", "seg", "lo", "hi")
+    border = known.where("n_seg > 1").select("rep_id", *[F.col(f"rep_{c}").alias(c) for c in ("tid", "first", "last")], "anchor", "seg", "lo", "hi")
     windows = stage(_window_rows(docs, border, chars, most))
     shared = windows.groupBy("anchor", "win").agg(F.min("lo").alias("w_lo"), F.max("hi").alias("w_hi")).where("w_lo <> w_hi").select("anchor", "win")
     # Segments of several records are whole already; the rest belong to one record, maybe at several places.

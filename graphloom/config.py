@@ -17,6 +17,7 @@ class Settings:
     chunk_size: int = 1000
     chunk_overlap: int = 200
     min_chunk_length: int = 50
+    bm25_language: str = "en"
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     top_k: int = 10
@@ -45,7 +46,7 @@ class Settings:
         for f in fields(cls):
             raw = os.environ.get(prefix + f.name.upper())
             if raw is not None:
-                own[f.name] = raw.lower() in ("1", "true", "yes") if f.type == "bool" else {"int": int, "float": float}[f.type](raw)
+                own[f.name] = raw.lower() in ("1", "true", "yes") if f.type == "bool" else {"int": int, "float": float, "str": str}[f.type](raw)
         return cls(**own)
 
 

@@ -22,6 +22,20 @@ STOPWORDS = (
 ).split()
 
 
+# Short lists for other languages.
+STOPWORDS_BY_LANGUAGE = {
+    "en": STOPWORDS,
+    "de": "aber als am an auch auf aus bei bin bis da das dem den der des die ein eine einer er es ist mit nicht oder sie und von war wir zu zum zur".split(),
+    "fr": "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas pour que qui sa se son sur un une vous".split(),
+    "es": "al como con de del el ella en es esta este la las lo los mas no o para pero por que se si sin su sus un una y ya".split(),
+}
+
+
+def stopwords_of(language: str) -> list[str]:
+    """The stop words of a language (a code such as de or de-AT); English ones where there are none."""
+    return STOPWORDS_BY_LANGUAGE.get(language.lower().replace("_", "-").split("-")[0], STOPWORDS)
+
+
 def strip_outer(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")

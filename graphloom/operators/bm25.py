@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
 from graphloom.functions.text import tokenize
+from graphloom.session import stage
 
 
 def postings(df: DataFrame, id_col: str, text: str, stopwords: list[str] | None = None) -> DataFrame:
@@ -25,6 +26,27 @@ def corpus_stats(df: DataFrame, text: str, stopwords: list[str] | None = None) -
     return df.select(F.size(tokenize(F.col(text), stopwords)).alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def matching(df: DataFrame, id_col: str, text: str, terms: DataFrame, stopwords: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings of query words only, and :func:`corpus_stats`, from one reading of the texts.
+
+    Words that no query has are dropped before the shuffle. Each text leaves one
+    row without a word as well, which stands for its length.
+    """
+    rows = df.select(F.col(id_col).alias("id"), tokenize(F.col(text), stopwords).alias("t"))
+    every = F.concat("t", F.array(F.lit(None).cast("string")))
+    exploded = rows.select("id", F.size("t").alias("length"), F.explode(every).alias("term"))
+    wanted = exploded.join(terms.select("term", F.lit(True).alias("_asked")).distinct(), "term", "left").where("_asked or term is null")
+    found = stage(wanted.groupBy("id", "length", "term").agg(F.count("*").cast("int").alias("tf")))
+    stats = found.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("length").cast("long") * F.col("tf")) / F.sum("tf"), F.lit(0.0)).alias("avgdl"))
+    return found.where("term is not null").select("id", "term", "tf", "length"), stats
+
+
+def stored_stats(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """:func:`corpus_stats` from stored postings: the lengths are the sums of the term counts."""
+    total = index.agg(F.coalesce(F.sum(F.col("tf").cast("long")), F.lit(0)).alias("words"))
+    return chunks.agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("n", F.coalesce(F.try_divide("words", "n"), F.lit(0.0)).alias("avgdl"))  # one row each
+
+
 def query_terms(queries: DataFrame, query_id: str, text: str, stopwords: list[str] | None = None) -> DataFrame:
     """(query_id, term, times): a repeated query word counts as often as it stands there."""
     rows = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenize(F.col(text), stopwords)).alias("term"))
@@ -54,4 +76,14 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
 
 def search(df: DataFrame, id_col: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank)."""
-    return top_k(scores(postings(df, id_col, text, stopwords), corpus_stats(df, text, stopwords), query_terms(queries, query_id, query_text, stopwords), s), k)
+    terms = query_terms(queries, query_id, query_text, stopwords)
+    return top_k(scores(*matching(df, id_col, text, terms, stopwords), terms, s), k)
+
+
+def search_stored(index: DataFrame, chunks: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
+    """:func:`search` over stored postings (id, term, tf, length); of the chunks only the number is read.
+
+    The postings of the query words are all that is read where these lie sorted by word.
+    """
+    terms = query_terms(queries, query_id, query_text, stopwords)
+    return top_k(scores(index, stored_stats(index, chunks), terms, s), k)

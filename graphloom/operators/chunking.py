@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,18 +13,27 @@ from pyspark.sql import functions as F
 from graphloom.config import DEFAULTS, Settings
 from graphloom.functions.text import header_sections, normalize_text, strip_outer
 
-# Where a window may end, best first, with what is kept of the mark.
-SENTENCE_ENDS = (". ", "? ", "! ")
+# Where a window may end, best first: behind a paragraph, a sentence, a line, a word.
+MARKS = ("\n\n", ". ", "? ", "! ", "\n", " ")
+
+
+def _places(text: str) -> list[list[int]]:
+    """For each mark the offsets behind all its occurrences, overlapping ones too."""
+    return [[m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)] for mark in MARKS]
 
 
-def window_end(text: str, start: int, end: int, size: int) -> int:
-    """Where the window [start, end) is best cut, in its second half; ``end`` if nowhere."""
-    low = start + size // 2
-    for mark, kept in (("\n\n", 2), *((m, 2) for m in SENTENCE_ENDS), ("\n", 1), (" ", 1)):
-        at = text.rfind(mark, low, end)
-        if at >= 0:
-            return at + kept
-    return end
+def _spans(length: int, places: list[list[int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows: each ends at the best mark in its second half, and the next begins ``overlap`` before it."""
+    start = 0
+    while start < length:
+        reach = start + size
+        end = length
+        if reach < length:
+            # Of each mark the last one that lies whole between the middle and the reach of the window.
+            last = ((mark, own, bisect_right(own, reach)) for mark, own in zip(MARKS, places))
+            end = next((own[n - 1] for mark, own, n in last if n and own[n - 1] - len(mark) >= start + size // 2), reach)
+        yield start, end
+        start = end - (overlap if overlap < end - start else 0)
 
 
 def windows(text: str, size: int, overlap: int, shortest: int) -> list[str]:
@@ -29,17 +42,8 @@ def windows(text: str, size: int, overlap: int, shortest: int) -> list[str]:
     The last ``overlap`` characters come once more as a window of their own when
     the window that reaches the end is wider than that.
     """
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            better = window_end(text, start, end, size)
-            end = better if better > start else end
-        piece = text[start:end].strip()
-        if len(piece) >= shortest:
-            out.append(piece)
-        start = end - overlap if end - overlap > start else end
-    return out
+    pieces = (text[a:b].strip() for a, b in _spans(len(text), _places(text), size, overlap))
+    return [p for p in pieces if len(p) >= shortest]
 
 
 def chunk_texts(text: Column, s: Settings = DEFAULTS) -> Column:

@@ -1,19 +1,25 @@
 """Communities of the entity graph, level by level, and their summaries.
 
-Deterministic label propagation: every round each node takes the label with the
+Deterministic label propagation: in its turn each node takes the label with the
 greatest weight among its neighbours (ties to the least label), keeping its own
-if nothing is heavier. Communities above the size limit are divided on the next
+if nothing is heavier. Each turn another half of the nodes moves, by a hash, so
+that neighbours do not swap labels for ever; it ends when none would move. Communities above the size limit are divided on the next
 level into connected parts within the limit, by all of their inner edges. Each
 node is in one community per level, and levels nest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
-from graphloom.session import stage
+from graphloom.session import stage, unstage
+from graphloom.sources.providers import EmbeddingProvider, TextProvider
 
 
 def _both_ways(graph: DataFrame) -> DataFrame:
@@ -27,10 +33,32 @@ def label_propagation(graph: DataFrame, rounds: int = 5) -> DataFrame:
     labels = nodes.select("node", F.col("node").alias("label"))
     edges = stage(_both_ways(graph))
     for _ in range(rounds):
-        labels = stage(_spread(edges, labels))
+        before, labels = labels, stage(_spread(edges, labels))
+        unstage(before)
     return labels
 
 
+def settled_labels(graph: DataFrame, most: int = 50) -> DataFrame:
+    """(node, label): label propagation in turns until no node would move, ``most`` rounds of two turns at most.
+
+    A move of one node adds to the weight inside labels; neighbours that move at
+    once may not, so each turn another half of the nodes moves. What still moves
+    after ``most`` rounds moves between labels of about equal weight.
+    """
+    nodes = graph.select(F.col("a").alias("node")).union(graph.select("b")).distinct()
+    labels = stage(nodes.select("node", F.col("node").alias("label")))
+    edges = stage(_both_ways(graph))
+    for turn in range(2 * most):
+        step = _spread(edges, labels).withColumnRenamed("label", "new").join(labels, "node")
+        mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        moved = stage(step.select("node", F.when(mine, F.col("new")).otherwise(F.col("label")).alias("label"), (F.col("new") != F.col("label")).alias("moves")))
+        unstage(labels)
+        labels = moved
+        if moved.where("moves").isEmpty():
+            break
+    return labels.select("node", "label")
+
+
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     heard = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
     best = heard.groupBy("node").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("new"), F.max("w").alias("w"))
@@ -71,7 +99,7 @@ def bounded_parts(graph: DataFrame, most: int) -> DataFrame:
         labels = stage(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
 
 
-def communities(graph: DataFrame, rounds: int = 5, levels: int = 3, s: Settings = DEFAULTS) -> DataFrame:
+def communities(graph: DataFrame, rounds: int = 50, levels: int = 3, s: Settings = DEFAULTS) -> DataFrame:
     """(level, cluster, node): level 0 over the whole graph, further levels inside the communities before.
 
     From level 1 on no community is above the size limit, so two levels hold all.
@@ -80,7 +108,7 @@ def communities(graph: DataFrame, rounds: int = 5, levels: int = 3, s: Settings
     out, before = None, None
     for level in range(levels):
         if before is None:
-            labels = label_propagation(inner, rounds)
+            labels = settled_labels(inner, rounds)
         else:
             labels = before.join(bounded_parts(inner, s.max_community_size), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
         labels = stage(labels)
@@ -112,15 +140,39 @@ def community_members(found: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def community_prompts(found: DataFrame, entities: DataFrame) -> DataFrame:
-    """(community_id, level, entity_ids, prompt): one line per known member for a summariser."""
+    """(community_id, level, entity_ids, prompt): one line per known member for a summariser.
+
+    Line ends inside names and descriptions become blanks.
+    """
     line = F.concat(F.lit("- "), F.coalesce("name", F.lit("")), F.lit(" ("), F.coalesce("entity_type", F.lit("UNKNOWN")), F.lit("): "), F.coalesce("description", F.lit("")))
     name = F.concat(F.lit("L"), F.col("level").cast("string"), F.lit("_C"), F.col("cluster").cast("string"))
+    line = F.regexp_replace(line, "\\s+", " ")
     joined = found.join(entities.select(F.col("entity_id").alias("node"), "name", "entity_type", "description"), "node", "left")
     lines = joined.groupBy(name.alias("community_id"), "level").agg(F.array_sort(F.collect_list("node")).alias("entity_ids"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), line))).alias("lines"))
     return lines.select("community_id", "level", "entity_ids", F.array_join("lines", "\n").alias("prompt"))
 
 
 def extractive_summaries(prompts: DataFrame, members: int = 5) -> DataFrame:
-    """Summaries without a model: the first members of each community, named."""
+    """Summaries without a model: how many members a community has, and the lines of the first ones."""
     first = F.slice(F.split("prompt", "\n"), 1, members)
     return prompts.select("community_id", "level", "entity_ids", F.concat(F.size("entity_ids").cast("string"), F.lit(" entities: "), F.array_join(first, "; ")).alias("summary"), F.lit(None).cast("array<float>").alias("summary_embedding"))
+
+
+def model_summaries(prompts: DataFrame, model: TextProvider | None, embedding: EmbeddingProvider | None = None, ask: str = "Summarise what connects these entities in a short paragraph:\n\n", s: Settings = DEFAULTS) -> DataFrame:
+    """(community_id, level, entity_ids, summary, summary_embedding): asked of a text model, and embedded.
+
+    Where there is no model, or it fails, the extractive summary stands; without
+    an embedding provider the vector is null.
+    """
+    plain = extractive_summaries(prompts).select("community_id", "level", "entity_ids", F.col("summary").alias("plain"))
+    rows = prompts.select("community_id", "prompt").join(plain, "community_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(s.llm_concurrency) as pool:
+            for b in batches:
+                said = [None] * len(b) if model is None else [reply for reply, _ in pool.map(lambda p: model.complete(ask + p), b["prompt"])]
+                b["summary"] = [x if x else plain for x, plain in zip(said, b["plain"])]
+                b["summary_embedding"] = embedding.embed(b["summary"].tolist()) if embedding is not None else None
+                yield b[["community_id", "level", "entity_ids", "summary", "summary_embedding"]]
+
+    return rows.mapInPandas(run, "community_id string, level int, entity_ids array<string>, summary string, summary_embedding array<float>")

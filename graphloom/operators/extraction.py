@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.config import DEFAULTS, Settings
 from graphloom.operators.entities import match_mentions
 from graphloom.sources.providers import EmbeddingProvider, Extractor, TextProvider
 
@@ -33,25 +32,39 @@ def score_chunks(chunks: DataFrame, provider: TextProvider, prompt: str = "Rate
     return chunks.select("chunk_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "chunk_id string, reply string")
 
 
-def extract_graph(chunks: DataFrame, extractor: Extractor, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """Entity mentions and relationships of the chunks, with ids that follow from names.
-
-    The ends of a relationship are matched to the entities of the same chunk.
-    """
+def extract_rows(chunks: DataFrame, extractor: Extractor) -> DataFrame:
+    """What the extractor found in each chunk, as rows of kind e (entity), r (relationship) or x (it failed; the description says why)."""
     schema = "chunk_id string, source_document_id string, kind string, position int, name string, type string, description string, target string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["chunk_id", "source_document_id", "kind", "position", "name", "type", "description", "target"]
         for b in batches:
-            for at in range(0, len(b), s.llm_chunks_per_batch):
-                part = b.iloc[at : at + s.llm_chunks_per_batch]
-                rows = []
-                for c, d, found in zip(part["chunk_id"], part["source_document_id"], extractor.extract(part["text"].tolist())):
-                    rows += [(c, d, "e", i, e["name"], e["type"], e["description"], None) for i, e in enumerate(found["entities"])]
-                    rows += [(c, d, "r", i, r["source"], r["type"], r["description"], r["target"]) for i, r in enumerate(found["relationships"])]
-                yield pd.DataFrame(rows, columns=cols)
-
-    found = chunks.select("chunk_id", "source_document_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+            rows = []
+            for c, d, found in zip(b["chunk_id"], b["source_document_id"], extractor.extract(b["text"].tolist())):
+                rows += [(c, d, "e", i, e["name"], e["type"], e["description"], None) for i, e in enumerate(found["entities"])]
+                rows += [(c, d, "r", i, r["source"], r["type"], r["description"], r["target"]) for i, r in enumerate(found["relationships"])]
+                if found.get("error"):
+                    rows.append((c, d, "x", 0, None, None, found["error"], None))
+            yield pd.DataFrame(rows, columns=cols)
+
+    return chunks.select("chunk_id", "source_document_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+
+
+def failed_documents(found: DataFrame) -> DataFrame:
+    """(source_document_id, error) of the documents with a chunk whose extraction failed."""
+    return found.where("kind = 'x'").groupBy("source_document_id").agg(F.min("description").alias("error"))
+
+
+def extract_graph(chunks: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
+    """:func:`graph_rows` of the chunks."""
+    return graph_rows(extract_rows(chunks, extractor))
+
+
+def graph_rows(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entity mentions and relationships of extracted rows, with ids that follow from names.
+
+    The ends of a relationship are matched to the entities of the same chunk.
+    """
     mentions = found.where("kind = 'e'").select(
         F.sha2(F.concat_ws("\x01", "chunk_id", "name"), 256).alias("entity_id"), "name", F.col("name").alias("canonical_name"), F.col("type").alias("entity_type"), "description",
         F.array("source_document_id").alias("source_document_ids"), F.array("chunk_id").alias("source_chunk_ids"), "chunk_id", "position", F.concat_ws("#", "chunk_id", F.lpad(F.col("position").cast("string"), 6, "0")).alias("seen"),

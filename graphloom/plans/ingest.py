@@ -1,7 +1,8 @@
 """From source documents to the tables of a store, resumable at every step.
 
 A step works on what is missing, found by anti-joins between the tables, so
-running it again changes nothing and a broken run is simply continued.
+running it again changes nothing and a broken run is simply continued. What is
+new is appended; only the entities, which new mentions change, are rewritten.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
-from graphloom.operators import bm25, communities, graph
+from graphloom.operators import bm25, communities, graph, lookup, vector_index
 from graphloom.operators.chunking import chunk_documents
 from graphloom.operators.entities import consolidate, merge_entities, resolve_endpoints
-from graphloom.operators.extraction import embed_chunks, extract_graph, score_chunks
+from graphloom.operators.extraction import embed_chunks, extract_rows, failed_documents, graph_rows, score_chunks
 from graphloom.operators.pruning import prune
 from graphloom.operators.quality import judge
-from graphloom.session import cut
+from graphloom.session import cut, stage, staging
 from graphloom.sources.providers import EmbeddingProvider, Extractor, TextProvider
 from graphloom.sources.store import Store
 
@@ -37,15 +38,25 @@ class Stats:
 
 
 def _status(store: Store, was: str, now: str) -> None:
-    docs = store.read("source_documents")
-    store.set_status(docs.where(F.col("pipeline_status") == was).select("id"), now)
+    store.set_status(store.statuses().where(F.col("pipeline_status") == was).select("id"), now)
 
 
 def add_documents(store: Store, docs: DataFrame) -> int:
-    """New documents are stored as pending; known ones (by id) are left alone."""
-    new = docs.join(store.read("source_documents").select("id"), "id", "left_anti")
-    store.upsert_documents(new)
-    return store.read("source_documents").where("pipeline_status = 'pending'").count()
+    """New documents are stored as pending; known ones (by id) are left alone.
+
+    A document whose folder and file name are those of a known one, which is not
+    among the documents given, is that one at a new place: its path is changed.
+    """
+    known = store.statuses()
+    with staging():
+        new = stage(docs.join(known.select("id"), "id", "left_anti"))
+        tail = lookup.tail_of_path(F.col("source_path"))
+        gone = known.join(docs.select("source_path"), "source_path", "left_anti").groupBy(tail.alias("tail")).agg(F.min("id").alias("was"))
+        moved = stage(new.groupBy(tail.alias("tail")).agg(F.min_by("id", "source_path").alias("id"), F.min("source_path").alias("source_path")).join(gone, "tail"))
+        if not moved.isEmpty():
+            store.move_documents(moved.select(F.col("was").alias("id"), "source_path"))
+        store.upsert_documents(new.join(moved.select("id"), "id", "left_anti").join(known.select("source_path"), "source_path", "left_anti"))
+    return store.statuses().where("pipeline_status = 'pending'").count()
 
 
 def chunk_step(store: Store, s: Settings = DEFAULTS) -> None:
@@ -57,31 +68,66 @@ def chunk_step(store: Store, s: Settings = DEFAULTS) -> None:
 
 
 def embed_step(store: Store, provider: EmbeddingProvider) -> None:
-    missing = store.read("chunks").join(store.read("embeddings").select("chunk_id"), "chunk_id", "left_anti")
+    missing = _unfinished(store).join(store.read("embeddings").select("chunk_id"), "chunk_id", "left_anti")
     store.upsert("embeddings", embed_chunks(missing, provider))
     _status(store, "chunked", "embedded")
 
 
 def index_step(store: Store, stopwords: list[str] | None = None) -> None:
     """Postings of the chunks that have none; statistics are always derived from them."""
-    old = store.read("postings")
-    missing = store.read("chunks").join(old.select("chunk_id").distinct(), "chunk_id", "left_anti")
-    store.write("postings", old.unionByName(bm25.postings(missing, "chunk_id", "text", stopwords).withColumnRenamed("id", "chunk_id")))
+    missing = _unfinished(store).join(store.read("postings").select("chunk_id").distinct(), "chunk_id", "left_anti")
+    new = bm25.postings(missing, "chunk_id", "text", stopwords).withColumnRenamed("id", "chunk_id")
+    with staging():
+        if not (new := stage(new)).isEmpty():
+            store.append("postings", new)
+
+
+def _unfinished(store: Store) -> DataFrame:
+    """The chunks of documents that are not complete."""
+    waiting = lookup.incomplete(store.statuses().withColumn("created_at", F.lit(None))).select(F.col("id").alias("source_document_id"))
+    return store.read("chunks").join(waiting, "source_document_id", "left_semi")
+
+
+def vector_step(store: Store, grown: float = 4.0) -> None:
+    """Vectors that are in no leaf yet are put into one; the leaves are fitted anew when there are ``grown`` times as many vectors."""
+    leaves, index = store.read("vector_leaves"), store.read("vector_index")
+    vectors, placed, centroids = store.read("embeddings"), index.count(), leaves.count()
+    total = vectors.count()
+    if total and (not centroids or total > grown * max(placed, centroids**2)):
+        store.write("vector_leaves", vector_index.fit_leaves(vectors))
+        store.write("vector_index", vector_index.in_leaves(vectors, store.read("vector_leaves")))
+    elif total > placed:
+        with staging():
+            missing = stage(vector_index.in_leaves(vectors.join(index.select("chunk_id"), "chunk_id", "left_anti"), leaves))
+            if not missing.isEmpty():
+                store.append("vector_index", missing)
 
 
 def extract_step(store: Store, extractor: Extractor | None, s: Settings = DEFAULTS) -> None:
-    """Entities and relationships of embedded documents; without an extractor their status stays."""
+    """Entities and relationships of embedded documents.
+
+    Without an extractor their status stays, as does that of a document with a
+    chunk whose extraction failed: it is tried again by the next run, and what
+    was found in it is kept by then, as ids follow from names.
+    """
     if extractor is None:
         return
-    waiting = store.read("source_documents").where("pipeline_status = 'embedded'").select(F.col("id").alias("source_document_id"))
-    mentions, rels = (cut(x) for x in extract_graph(store.read("chunks").join(waiting, "source_document_id", "left_semi"), extractor, s))
+    with staging():
+        _extract(store, extractor)
+
+
+def _extract(store: Store, extractor: Extractor) -> None:
+    waiting = stage(store.statuses().where("pipeline_status = 'embedded'").select(F.col("id").alias("source_document_id")))
+    found = stage(extract_rows(store.read("chunks").join(waiting, "source_document_id", "left_semi"), extractor))
+    mentions, rels = (stage(x) for x in graph_rows(found))
     batch = consolidate(mentions, "seen", F.lower("name"))
     store.write("entities", merge_entities(store.read("entities"), batch))
     store.upsert_relationships(resolve_endpoints(rels, mentions.select("entity_id", "name"), store.read("entities")))
     entities = store.read("entities")
     store.write("entities", graph.connected(entities, store.read("relationships")))
-    _status(store, "embedded", "extracted")
-    _status(store, "extracted", "complete")
+    done = stage(waiting.join(failed_documents(found), "source_document_id", "left_anti"))
+    for status in ("extracted", "complete"):
+        store.set_status(done, status, "source_document_id")
 
 
 def prune_step(store: Store, scorer: TextProvider | None = None, s: Settings = DEFAULTS) -> int:
@@ -97,16 +143,19 @@ def prune_step(store: Store, scorer: TextProvider | None = None, s: Settings = D
     return removed.count()
 
 
-def community_step(store: Store, s: Settings = DEFAULTS) -> None:
-    found = cut(communities.communities(graph.simple_graph(store.read("relationships")), s=s))
-    store.upsert("community_summaries", communities.extractive_summaries(communities.community_prompts(found, store.read("entities"))))
+def community_step(store: Store, s: Settings = DEFAULTS, model: TextProvider | None = None, embedding: EmbeddingProvider | None = None) -> None:
+    """Communities of the graph as it is now, summarised by the model if there is one; they replace the ones before."""
+    with staging():
+        found = communities.communities(graph.simple_graph(store.read("relationships")), s=s)
+        prompts = communities.community_prompts(found, store.read("entities"))
+        store.write("community_summaries", communities.model_summaries(prompts, model, embedding, s=s))
 
 
 def run(store: Store, docs: DataFrame, provider: EmbeddingProvider, extractor: Extractor | None = None, pruning: bool = False, scorer: TextProvider | None = None, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> Stats:
     """All steps; a scorer implies pruning."""
     began, stats = time.time(), Stats()
     stats.documents = add_documents(store, docs)
-    for name, step in (("chunk", lambda: chunk_step(store, s)), ("embed", lambda: embed_step(store, provider)), ("index", lambda: index_step(store, stopwords)), ("extract", lambda: extract_step(store, extractor, s))):
+    for name, step in (("chunk", lambda: chunk_step(store, s)), ("embed", lambda: embed_step(store, provider)), ("index", lambda: index_step(store, stopwords)), ("vectors", lambda: vector_step(store)), ("extract", lambda: extract_step(store, extractor, s))):
         step()
         stats.steps.append(name)
     if pruning or scorer is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,12 +12,17 @@ from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
 from graphloom.operators import bm25, fusion, graph, lookup
+from graphloom.operators.vector_index import indexed_hits
 from graphloom.operators.vectors import cosine
 from graphloom.session import stage
 from graphloom.sources.providers import EmbeddingProvider
+from graphloom.sources.store import Store
+
+log = logging.getLogger(__name__)
 
 # Names of the search types, and of the modes of the tool.
 CONNECTIONS, THEMATIC, KEYWORD = "find_connections", "explore_thematic", "keyword_search"
+COMMUNITIES = "communities"
 MODES = {"entity_connections": CONNECTIONS, "thematic_overview": THEMATIC, "keyword_lookup": KEYWORD, "connections": CONNECTIONS, "thematic": THEMATIC, "keyword": KEYWORD}
 
 
@@ -26,6 +33,16 @@ class Tables:
     entities: DataFrame
     relationships: DataFrame
     community_summaries: DataFrame | None = None
+    postings: DataFrame | None = None
+    vector_leaves: DataFrame | None = None
+    vector_index: DataFrame | None = None
+
+    @classmethod
+    def of(cls, store: Store) -> Tables:
+        """The tables of a store, its indexes among them where they were made."""
+        read = lambda t: store.read(t)
+        made = lambda t: read(t) if store.has(t) else None
+        return cls(*(read(t) for t in ("chunks", "embeddings", "entities", "relationships", "community_summaries")), *(made(t) for t in ("postings", "vector_leaves", "vector_index")))
 
 
 @dataclass
@@ -60,22 +77,53 @@ class Result:
 
 
 class Engine:
-    def __init__(self, tables: Tables, provider: EmbeddingProvider | None = None, settings: Settings = DEFAULTS, stopwords: list[str] | None = None):
-        self.t, self.provider, self.s, self.stopwords = tables, provider, settings, stopwords
+    def __init__(self, tables: Tables, provider: EmbeddingProvider | None = None, settings: Settings = DEFAULTS, stopwords: list[str] | None = None, strict: bool = True):
+        self.t, self.provider, self.s, self.stopwords, self.strict = tables, provider, settings, stopwords, strict
+
+    def text_hits(self, queries: DataFrame, k: int) -> DataFrame:
+        """From the stored postings where there are any, else from the texts."""
+        if self.t.postings is None:
+            return bm25.search(self.t.chunks, "chunk_id", "text", queries, "query_id", "text", k, self.s, self.stopwords)
+        return bm25.search_stored(self.t.postings.withColumnRenamed("chunk_id", "id"), self.t.chunks, queries, "query_id", "text", k, self.s, self.stopwords)
+
+    def vector_hits(self, queries: DataFrame, k: int) -> DataFrame:
+        """From the nearest leaves of the stored index where there is one, else by a scan of all vectors."""
+        if self.t.vector_index is None or self.t.vector_leaves is None:
+            return vector_hits_all(self.t.embeddings, queries, k)
+        return indexed_hits(self.t.vector_index, self.t.vector_leaves, queries, k)
 
     def hybrid(self, queries: DataFrame, k: int | None = None, alpha: float | None = None) -> DataFrame:
-        """Fused hits of (query_id, text, vector) rows; without a vector column by text alone."""
+        """Fused hits of (query_id, text, vector) rows, three times k from each side; without a vector column by text alone.
+
+        Unless the engine is ``strict``, a side that fails finds nothing and the other one answers.
+        """
         k = k or self.s.top_k
-        text_hits = bm25.search(self.t.chunks, "chunk_id", "text", queries, "query_id", "text", 3 * k, self.s, self.stopwords)
+        text_hits = self._leg(lambda: self.text_hits(queries, 3 * k))
         if "vector" not in queries.columns:
             return fusion.text_only(text_hits, k)
-        return fusion.fuse(vector_hits_all(self.t.embeddings, queries, 3 * k), text_hits, k, alpha, s=self.s)
+        return fusion.fuse(self._leg(lambda: self.vector_hits(queries, 3 * k)), text_hits, k, alpha, s=self.s)
+
+    def _leg(self, find: Callable[[], DataFrame]) -> DataFrame:
+        if self.strict:
+            return find()
+        try:
+            return stage(find())
+        except Exception as e:
+            log.error("one side of the search failed: %s", e)
+            return self.t.chunks.sparkSession.createDataFrame([], "query_id string, id string, score double")
 
     def _asked(self, query: str) -> DataFrame:
         spark = self.t.chunks.sparkSession
         if self.provider is None:
             return spark.createDataFrame([("q", query)], "query_id string, text string")
-        return spark.createDataFrame([("q", query, [float(x) for x in self.provider.embed([query])[0]])], "query_id string, text string, vector array<float>")
+        try:
+            vector = [float(x) for x in self.provider.embed([query])[0]]
+        except Exception as e:
+            if self.strict:
+                raise
+            log.error("the query was not embedded: %s", e)
+            return spark.createDataFrame([("q", query)], "query_id string, text string")
+        return spark.createDataFrame([("q", query, vector)], "query_id string, text string, vector array<float>")
 
     def keyword(self, query: str, k: int | None = None, alpha: float | None = None) -> Result:
         """Fused hits only."""
@@ -84,7 +132,7 @@ class Engine:
 
     def connections(self, query: str, k: int | None = None, alpha: float | None = None, label: str = CONNECTIONS) -> Result:
         """Hits without near-copies, the entities met in them, and their edges by closeness."""
-        hits = self.hybrid(self._asked(query), k, alpha).persist()  # at most k rows, read by every part of the answer
+        hits = stage(self.hybrid(self._asked(query), k, alpha))  # at most k rows, read by every part of the answer
         own, edges = graph.entity_context(hits, self.t.entities, self.t.relationships)
         kept = fusion.drop_near_copies(hits.join(self.t.embeddings.withColumnRenamed("chunk_id", "id"), "id", "left"), "embedding", s=self.s)
         flagged = lookup.relationship_records
@@ -100,14 +148,25 @@ class Engine:
         return self.connections(query, k, alpha, THEMATIC if kind == THEMATIC else CONNECTIONS)
 
     def thematic_communities(self, query: str, k: int | None = None) -> DataFrame:
-        """Community summaries ranked by their words: (query_id, id, score, rank)."""
+        """Community summaries by their words, and by their vectors where they have some: (query_id, id, ..., rank)."""
         if self.t.community_summaries is None:
             raise ValueError("there are no community summaries")
-        return bm25.search(self.t.community_summaries, "community_id", "summary", self._asked(query), "query_id", "text", k or self.s.top_k, self.s, self.stopwords)
+        k, asked = k or self.s.top_k, self._asked(query)
+        by_words = bm25.search(self.t.community_summaries, "community_id", "summary", asked, "query_id", "text", 3 * k, self.s, self.stopwords)
+        if "vector" not in asked.columns:
+            return fusion.text_only(by_words, k)
+        vectors = self.t.community_summaries.select(F.col("community_id").alias("chunk_id"), F.col("summary_embedding").alias("embedding"))
+        return fusion.fuse(vector_hits_all(vectors, asked, 3 * k), by_words, k, s=self.s)
+
+    def overview(self, query: str, k: int | None = None) -> dict:
+        """The communities that suit a query best, with their summaries."""
+        found = self.thematic_communities(query, k).join(self.t.community_summaries.select(F.col("community_id").alias("id"), "level", "entity_ids", "summary"), "id")
+        rows = found.orderBy("rank").select("id", "level", "summary", F.size("entity_ids").alias("entityCount"), F.round("fused_score", 4).alias("score")).collect()  # k rows
+        return {"query": query, "searchType": COMMUNITIES, "communities": [r.asDict() for r in rows]}
 
     def explore(self, name: str, hops: int = 1) -> dict:
         """The neighbourhood of the entity of a name, as records."""
-        start = lookup.entity_by_name(self.t.entities, name).persist()
+        start = stage(lookup.entity_by_name(self.t.entities, name))
         if start.isEmpty():
             return {"error": f"Entity '{name}' not found"}
         nodes, met = graph.neighbourhood(self.t.relationships, start, hops, self.s)

@@ -2,7 +2,8 @@
 
 Lineage is cut with ``checkpoint()`` only, into the folder named by
 ``spark.checkpoint.dir``; a folder of our own is chosen solely where that
-setting is absent (tests, single machine).
+setting is absent and the session runs on this machine alone (tests). On a
+cluster without the setting an error is raised.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,7 @@ def get_spark(app: str = "graphloom", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in (base | {k.replace("__", "."): v for k, v in conf.items()}).items():
         b = b.config(k, v)
@@ -39,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     now = sc.getCheckpointDir()
     if now:
         return now
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -56,8 +63,8 @@ def stage(df: DataFrame) -> DataFrame:
     """``df`` written to a table in the checkpoint folder and read again.
 
     For loops: unlike a checkpoint, the table's size estimate starts afresh, so
-    it does not multiply with every join of every round. The tables are removed
-    when the process ends.
+    it does not multiply with every join of every round. The tables are removed by
+    :func:`unstage`, at the end of :func:`staging`, or when the process ends.
     """
     spark = df.sparkSession
     if not _STAGED:
@@ -65,7 +72,28 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Removes the table behind a staged DataFrame that nothing lazy reads any more; others are left alone."""
+    path = getattr(df, "_staged_at", None)
+    for entry in [e for e in _STAGED if e[1] == path]:
+        _STAGED.remove(entry)
+        _remove(*entry)
+
+
+@contextmanager
+def staging() -> Iterator[None]:
+    """Removes at its end what was staged inside; for work whose results are written by then."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        while len(_STAGED) > before:
+            _remove(*_STAGED.pop())
 
 
 def _remove(spark: SparkSession, path: str) -> None:

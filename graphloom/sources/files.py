@@ -28,6 +28,18 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(folder))
 
 
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """One file as a source document, whatever its ending."""
+    return _documents(spark.read.format("text").option("wholetext", True).load(path))
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_path, reason) of the files that are empty, or whose bytes are not UTF-8 and are read with substitutes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(folder)
+    reason = F.when(F.col("length") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
+    return raw.select(decoded_path(F.col("path")).alias("source_path"), reason.alias("reason")).where("reason is not null")
+
+
 def stream_documents(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     reader = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True)
     return _documents(reader.option("pathGlobFilter", GLOB).option("maxFilesPerTrigger", files_per_batch).load(folder))

@@ -36,8 +36,11 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 def unreadable(spark: SparkSession, folder: str) -> DataFrame:
     """(source_path, reason) of the files that are empty, or whose bytes are not UTF-8 and are read with substitutes."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(folder)
-    reason = F.when(F.col("length") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
-    return raw.select(decoded_path(F.col("path")).alias("source_path"), reason.alias("reason")).where("reason is not null")
+    # Empty files give no rows; the reader's list of files, which it keeps on the driver anyhow, has them.
+    listed = spark.createDataFrame([(p,) for p in raw.inputFiles()], "path string").select(decoded_path(F.col("path")).alias("source_path"))
+    read = raw.select(decoded_path(F.col("path")).alias("source_path"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    empty = listed.join(read, "source_path", "left_anti").select("source_path", F.lit("empty").alias("reason"))
+    return empty.unionByName(read.where(~F.col("valid")).select("source_path", F.lit("not UTF-8").alias("reason")))
 
 
 def stream_documents(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:

@@ -111,6 +111,8 @@ class Store:
         old, key = self._stored(table), KEYS[table]
         with staging():
             new = stage(merged(old.limit(0), rows, key, keep))
+            if new.isEmpty() and self.has(table):
+                return
             if old.select(key).join(new.select(key), key, "left_semi").isEmpty():
                 self.append(table, new)
             else:

@@ -57,7 +57,8 @@ def scores(index: DataFrame, stats: DataFrame, terms: DataFrame, s: Settings = D
     """(query_id, id, score) of every text that shares a term with a query, score > 0.
 
     Only postings of query words are touched: the words of the queries reduce
-    the index before anything is counted or joined.
+    the index before anything is counted or joined. Scores are rounded to twelve
+    decimals, so that the order in which the parts are added up settles no tie.
     """
     wanted = index.join(terms.select("term").distinct(), "term", "left_semi")
     frequency = doc_frequency(wanted)
@@ -65,7 +66,7 @@ def scores(index: DataFrame, stats: DataFrame, terms: DataFrame, s: Settings = D
     idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighted = weighted.select("query_id", "term", "avgdl", (F.col("times") * idf).alias("weight"))
     part = F.when(F.col("avgdl") > 0, F.col("weight") * F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / F.col("avgdl")))).otherwise(0.0)
-    return wanted.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
+    return wanted.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 12).alias("score")).where("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:

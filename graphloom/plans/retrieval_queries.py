@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +13,9 @@ from graphloom.functions.text import STOPWORDS, header_sections, normalize_text,
 from graphloom.operators import bm25, communities, entities, fusion, graph, lookup, quality, vectors
 from graphloom.operators.chunking import chunk_documents
 from graphloom.operators.stats import corpus_counts, table_counts
-from graphloom.plans.search import vector_hits_all
-from graphloom.sources.store import merged
+from graphloom.plans.search import Engine, Tables, vector_hits_all
+from graphloom.session import cut, ensure_checkpoint_dir, staging
+from graphloom.sources.store import Store, merged
 from graphloom.sources.tables import read_table
 
 RELATION = ["source_entity_id", "target_entity_id", "relationship_type", "description", "weight"]
@@ -150,6 +152,32 @@ def _fused(use_alpha: bool, use_rrf: bool):
     return query
 
 
+def _summaries(spark, d):
+    rows = _once(spark, d, "community_summaries", "community_id")
+    return rows.select(F.col("community_id").alias("query_id"), F.col("summary").alias("text"), F.col("summary_embedding").alias("vector"))
+
+
+def _engine(spark, d, stored: bool) -> Engine:
+    """The engine over the test tables, with stored postings or without."""
+    chunks = _once(spark, d, "chunks", "chunk_id")
+    t = Tables(chunks.select("chunk_id", "text"), chunks.select("chunk_id", "embedding"), _once(spark, d, "entities", "entity_id"), _relations(spark, d))
+    if stored:
+        t.postings = bm25.postings(t.chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+    return Engine(t)
+
+
+def hybrid_search_all(spark, d):
+    """Both sides of the search, fused: for every community summary the chunks that suit its words and its vector."""
+    hits = _engine(spark, d, False).hybrid(_summaries(spark, d), 10)
+    return hits.select("query_id", F.col("id").alias("chunk_id"), "vector_rank", "bm25_rank", F.round("fused_score", 6).alias("fused_score"), "rank")
+
+
+def stored_postings_search(spark, d):
+    """Three times top_k chunks for every search query, from postings."""
+    queries = read_table(spark, d, "search_queries").select("query_id", F.col("query_text").alias("text"))
+    return _engine(spark, d, True).text_hits(queries, 3 * DEFAULTS.top_k).select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 def text_only_ranking(spark, d):
     return fusion.text_only(_hit_lists(spark, d)[1], 5).select("query_id", F.col("id").alias("chunk_id"), F.round("fused_score", 6).alias("fused_score"), "bm25_rank")
 
@@ -222,6 +250,19 @@ def stranded_entities(spark, d):
     return graph.stranded(_once(spark, d, "entities", "entity_id"), read_table(spark, d, "relationships")).select("entity_id")
 
 
+RELATION_TYPES = ("RELATED_TO", "SUPPLIES", "MEMBER_OF", "LOCATED_IN", "CITES", "PART_OF", "USES", "OWNS")
+
+
+def stranded_by_type(spark, d):
+    """For each type of relationship the entities that none of that type names."""
+    e, r = _once(spark, d, "entities", "entity_id"), read_table(spark, d, "relationships")
+    out = None
+    for t in RELATION_TYPES:
+        own = graph.stranded(e, r.where(F.col("relationship_type") == t)).select(F.lit(t).alias("relationship_type"), "entity_id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def connected_entities(spark, d):
     return graph.connected(_once(spark, d, "entities", "entity_id"), read_table(spark, d, "relationships")).select("entity_id")
 
@@ -341,6 +382,25 @@ def upsert_idempotent(spark, d):
     return twice.select("id", "source_path", "pipeline_status", F.md5("raw_content").alias("content_md5"))
 
 
+def stored_lifecycle(spark, d):
+    """Documents through a store: added, some moved, some deleted, the status set for the rest."""
+    docs = _once(spark, d, "source_documents", "id", "created_at")
+    home = ensure_checkpoint_dir(spark)
+    store = Store(spark, f"{home}/store-{uuid.uuid4().hex}")
+    gone = read_table(spark, d, "deleted_records").where("record_kind = 'source_document'").select(F.col("record_id").alias("id")).distinct()
+    try:
+        with staging():
+            store.upsert_documents(docs)
+            store.move_documents(docs.where("pipeline_status is null and source_path is not null").select("id", F.concat(F.lit("/moved"), "source_path").alias("source_path")))
+            store.set_status(docs.where("pipeline_status = 'pending'").select("id"), "chunked")
+            store.delete("source_documents", gone)
+            store.upsert_documents(docs.where("pipeline_status = 'complete'").withColumn("raw_content", F.lit("new")))
+            out = store.read("source_documents").select("id", "source_path", "pipeline_status", F.md5("raw_content").alias("content_md5"))
+            return cut(out)
+    finally:
+        store.reset()
+
+
 def documents_without_chunks(spark, d):
     docs = _once(spark, d, "source_documents", "id", "created_at")
     return docs.join(read_table(spark, d, "chunks").select(F.col("source_document_id").alias("id")).distinct(), "id", "left_anti").select("id")
@@ -354,10 +414,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         tokenize_terms, bm25_doc_freq, bm25_corpus_stats, bm25_topk, bm25_match_counts, quality_metrics, quality_verdict, normalized_texts, header_section_counts, chunked_documents, chunked_texts, token_arrays,
-        vector_topk, vector_topk_all, vector_search_all, label_centroids, embedding_outliers, corpus_outliers, near_copies_dropped, near_copies_dropped_all, text_only_ranking,
+        vector_topk, vector_topk_all, vector_search_all, label_centroids, embedding_outliers, corpus_outliers, near_copies_dropped, near_copies_dropped_all, text_only_ranking, hybrid_search_all, stored_postings_search,
         documents_incomplete, documents_by_status, documents_by_portable_path, documents_without_chunks, chunk_outputs, chunks_of_documents, entities_by_search_names, names_of_sources,
-        entity_merge, entity_upsert, stranded_entities, connected_entities, relationship_enrich, simple_graph, entity_neighborhood_2hop, neighborhood_edges_2hop, incident_relationships, entity_context, entity_context_all, evidence_split, evidence_split_all, resolve_relationship_ids, mention_matches,
-        label_propagation_2, community_levels, community_summaries_made, corpus_stats, table_stats, upsert_idempotent,
+        entity_merge, entity_upsert, stranded_entities, stranded_by_type, connected_entities, relationship_enrich, simple_graph, entity_neighborhood_2hop, neighborhood_edges_2hop, incident_relationships, entity_context, entity_context_all, evidence_split, evidence_split_all, resolve_relationship_ids, mention_matches,
+        label_propagation_2, community_levels, community_summaries_made, corpus_stats, table_stats, upsert_idempotent, stored_lifecycle,
     )
 } | {"hybrid_fusion_topk": _fused(True, True), "fusion_alpha_only": _fused(True, False), "fusion_rrf_only": _fused(False, True)}
 
@@ -424,10 +484,53 @@ met as (select distinct query_id, entity_id, rank from (select entity_id, unnest
 own as (select distinct query_id, entity_id from met where entity_id in (select source_entity_id from rel union select target_entity_id from rel)),
 edges as (select query_id, relationship_id, source_entity_id s, target_entity_id t from rel join own on source_entity_id = entity_id union select query_id, relationship_id, source_entity_id, target_entity_id from rel join own on target_entity_id = entity_id)
 """
+_FUSED_HITS = _HITS[_HITS.index("\nv as (select") :]
+_CHU = "chu as (select * from (select *, row_number() over (partition by chunk_id order by ingested_at desc) rn from chunks where chunk_id is not null) where rn = 1)"
+
+
+def _chunk_scores(queries: str, keep: int) -> str:
+    """BM25 of the chunks for queries (query_id, text), the best ones per query, as hs."""
+    return f"""t as (select chunk_id, {_tok('text')} t from chu),
+p as (select chunk_id, term, count(*)::int tf, length::int length from (select chunk_id, len(t) length, unnest(t) term from t) group by all),
+f as (select term, count(*) df from p group by 1),
+st as (select count(*)::double n, avg(len(t)) avgdl from t),
+q as (select query_id, term, count(*) times from (select query_id, unnest({_tok('text')}) term from {queries}) group by all),
+sc as (select query_id, chunk_id, round(sum(times * greatest(0, ln((n - df + 0.5) / (df + 0.5) + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 12) score from q join f using (term) join p using (term), st group by 1, 2),
+hs as (select query_id, chunk_id, score from sc where score > 0 qualify row_number() over (partition by query_id order by score desc, chunk_id) <= {keep})"""
+
+
+_GOOD = "len({0}) = 64 and len(list_filter({0}, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_sum(list_transform({0}, lambda x: abs(x))) > 0"
+_HYBRID = f"""with {_CHU}, sums as (select community_id query_id, summary as text, summary_embedding vec from (select *, row_number() over (partition by community_id order by ingested_at desc) rn from community_summaries where community_id is not null) where rn = 1),
+{_chunk_scores('sums', 30)},
+vs as (select query_id, chunk_id, {_COS.format('embedding', 'vec')} score from (select * from chu where {_GOOD.format('embedding')}) c, (select * from sums where {_GOOD.format('vec')}) s qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 30),
+hv as (select query_id, chunk_id, vs.score v, hs.score b from vs full join hs using (query_id, chunk_id)),
+{_FUSED_HITS}"""
+# A text cut at headings, the parts normalised and stripped; long ones in windows that end at the best mark of their second half.
+_CHUNKED = f"""with recursive src(id, path, raw) as ({{0}}),
+nrm as (select id, path, regexp_replace(regexp_replace(regexp_replace(raw, '\\[\\[Page [0-9]+ STAT\\. [0-9]+\\]\\]', '', 'g'), '\\n{{{{3,}}}}', chr(10)||chr(10), 'g'), ' {{{{5,}}}}', '    ', 'g') raw from src),
+l as (select *, unnest(string_split(raw, chr(10))) line, generate_subscripts(string_split(raw, chr(10)), 1) i from (select *, row_number() over () rn from nrm)),
+s as (select *, sum(case when i > 1 and regexp_matches(ltrim(line, {_WS}), '^#{{{{1,6}}}} ') then 1 else 0 end) over (partition by rn order by i) section from l),
+part as (select rn, any_value(id) id, any_value(path) path, section, trim(string_agg(line, chr(10) order by i), {_WS}) body from s group by rn, section),
+long as (select *, length(body) n from part where length(body) > 1000),
+win(rn, section, body, n, a, z) as (
+  select rn, section, body, n, a, {{1}} from (select rn, section, body, n, 0::bigint a from long)
+  union all
+  select rn, section, body, n, a, {{1}} from (select rn, section, body, n, case when z - 200 > a then z - 200 else z end a from win) where a < n),
+piece as (select rn, section, a, trim(substring(body, a + 1, z - a), {_WS}) as text from win union all select rn, section, 0, body from part where length(body) <= 1000),
+kept as (select p.*, id, path, row_number() over (partition by p.rn order by p.section, a) - 1 k from piece p join part using (rn, section) where length(p.text) >= 50)
+select distinct sha256(coalesce(path, '') || chr(1) || id || '/' || k) chunk_id, id source_document_id, text, k::int chunk_index from kept"""
+_MARKS = ("chr(10)||chr(10)", "'. '", "'? '", "'! '", "chr(10)", "' '")
+_WINDOW_END = "case when n <= a + 1000 then n " + " ".join(f"when contains(substring(body, a + 501, 500), {m}) then a + 1001 - strpos(reverse(substring(body, a + 501, 500)), reverse({m}))" for m in _MARKS) + " else a + 1000 end"
 _PRIO = "case upper(entity_type) " + " ".join(f"when '{k}' then {v}" for k, v in TYPE_PRIORITY.items()) + " else 99 end"
 
 ORACLES = {
     "tokenize_terms": f"with {_DOCS} x as (select 1) select * from p",
+    "chunked_texts": _CHUNKED.format("select doc_id::varchar, source_path, coalesce(text, '') from documents", _WINDOW_END),
+    "chunked_documents": _CHUNKED.format("select id, source_path, coalesce(raw_content, '') from source_documents", _WINDOW_END),
+    "hybrid_search_all": _HYBRID + f" select query_id, chunk_id, vector_rank, bm25_rank, round(f, 6) fused_score, rank from (select *, row_number() over (partition by query_id order by f desc, chunk_id) rank from (select *, (({_ALPHA}) + ({_RRF})) / 2 f from j)) where rank <= 10",
+    "stored_postings_search": f"with {_CHU}, sq as (select query_id, query_text as text from search_queries), {_chunk_scores('sq', 30)} select query_id, chunk_id, round(score, 6) score from hs",
+    "stranded_by_type": f"with {_ENT}, ty as (select unnest([{', '.join(repr(t) for t in RELATION_TYPES)}]) relationship_type), ends as (select relationship_type, source_entity_id entity_id from relationships union select relationship_type, target_entity_id from relationships) select relationship_type, entity_id from ty, ent where not exists (select 1 from ends where ends.relationship_type = ty.relationship_type and ends.entity_id = ent.entity_id)",
+    "stored_lifecycle": f"with {_SRC}, gone as (select record_id from deleted_records where record_kind = 'source_document') select id, case when pipeline_status is null and (id not in (select record_id from gone where record_id is not null)) then '/moved' || source_path else source_path end source_path, case when pipeline_status = 'pending' then 'chunked' else pipeline_status end pipeline_status, case when pipeline_status = 'complete' then md5('new') else md5(raw_content) end content_md5 from src where pipeline_status = 'complete' or id not in (select record_id from gone where record_id is not null)",
     "bm25_doc_freq": f"with {_DOCS} x as (select 1) select term, count(*) df from p group by 1",
     "bm25_corpus_stats": f"with {_DOCS} x as (select 1) select count(*) n, round(avg(len(t)), 6) avgdl from t",
     "bm25_topk": _SCORES + "select query_id, doc_id, round(score, 6) score from sc where score > 0 qualify row_number() over (partition by query_id order by score desc, doc_id) <= 10",

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import stage
+from graphloom.session import stage, unstage
 
 # What stands before or after a person's name, and joining particles inside it.
 TITLES = set("dr prof professor mr mrs ms miss eng ing sir dame rev hon phd msc bsc ba ma mba md esq jr sr dphil".split())
@@ -370,16 +370,17 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     for _ in range(rounds):
-        spread = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        least = spread.unionByName(labels).groupBy("node").agg(F.min("label").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        old = labels.withColumnRenamed("label", "old")
+        labels_now = labels.select("node", "label")
+        spread = both.join(labels_now.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        least = spread.unionByName(labels_now).groupBy("node").agg(F.min("label").alias("label"))
+        jump = labels_now.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        old = labels_now.withColumnRenamed("label", "old")
         step = least.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "next"), "label").alias("label"))
-        labels = stage(step.join(old, "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
-        settled = labels.where("moved").isEmpty()
-        labels = labels.drop("moved")
-        if settled:
-            return labels
+        moved = stage(step.join(old, "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
+        unstage(labels)
+        labels = moved
+        if moved.where("moved").isEmpty():
+            return moved.drop("moved")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -34,12 +34,20 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHED_CHARS, CACHED = 64, 200_000
 LONG = 4096
 SLICE = 500
+MOST_BYTES = 64_000_000
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    """Token bytes to ids, from a file of base64 tokens and ranks."""
+def read_vocabulary(path: str, most: int = MOST_BYTES) -> bytes:
+    """A file of base64 tokens and ranks, refused if it is too large to be sent to every worker."""
+    if os.path.getsize(path) > most:
+        raise ValueError(f"{path} has more than {most} bytes")
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return f.read()
+
+
+def load_ranks(vocabulary: bytes) -> dict[bytes, int]:
+    """Token bytes to ids."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
 
 
 def inner_pairs(ranks: dict[bytes, int]) -> set[tuple[int, int]]:
@@ -48,12 +56,12 @@ def inner_pairs(ranks: dict[bytes, int]) -> set[tuple[int, int]]:
 
 
 class ForcedEncoder:
-    """Encodes texts to the ids of one byte-level BPE vocabulary."""
+    """Encodes texts to the ids of one byte-level BPE vocabulary, given as its path or its contents."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, vocabulary: str | bytes, pattern: str = PATTERN):
         import tiktoken
 
-        ranks = load_ranks(path)
+        ranks = load_ranks(read_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary)
         self.inner = inner_pairs(ranks)
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pre = regex.compile(pattern)
@@ -98,13 +106,13 @@ class ForcedEncoder:
 def encode_texts(df: DataFrame, id_col: str, text_col: str, vocabulary: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(id, ids) of every row, ``ids`` an array of ints; other columns are ignored.
 
-    The vocabulary file is read by every worker from ``folder``; nothing is
-    shuffled. Repeated rows stay repeated.
+    The vocabulary file is read from ``folder`` by the driver and sent to the workers;
+    nothing is shuffled. Repeated rows stay repeated.
     """
-    path = f"{folder}/{vocabulary}.tiktoken"
+    held = df.sparkSession.sparkContext.broadcast(read_vocabulary(f"{folder}/{vocabulary}.tiktoken"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ForcedEncoder(path)
+        enc = ForcedEncoder(held.value)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):  # small results, whatever the size of a batch
                 b = whole.slice(at, SLICE)

@@ -26,20 +26,22 @@ def consolidate(mentions: DataFrame, order: str, key: Column | None = None) -> D
     k = F.col("name") if key is None else key
     empty = F.array().cast("array<string>")
     united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(c).cast("array<string>"), empty)))))
-    texts = F.array_sort(F.collect_set(F.struct(F.col(order), F.col("description").alias("d"))))
-    return (
-        mentions.groupBy(k.alias("_key"))
-        .agg(
-            F.min_by("entity_id", order).alias("entity_id"),
-            F.min_by("name", order).alias("name"),
-            F.min_by("canonical_name", order).alias("canonical_name"),
-            F.min_by("entity_type", F.struct(type_priority(F.col("entity_type")), F.col(order))).alias("entity_type"),
-            join_descriptions(F.transform(texts, lambda x: x["d"])).alias("description"),
-            united("source_document_ids").alias("source_document_ids"),
-            united("source_chunk_ids").alias("source_chunk_ids"),
-        )
-        .drop("_key")
+    # By description first: a name met everywhere is spread over many tasks, and its equal descriptions are one.
+    parts = mentions.groupBy(k.alias("_key"), F.col("description").alias("d")).agg(
+        F.min(order).alias("o"),
+        F.min_by(F.struct("entity_id", "name", "canonical_name"), order).alias("first"),
+        F.min(F.struct(type_priority(F.col("entity_type")).alias("p"), F.col(order).alias("o"), "entity_type")).alias("kind"),
+        united("source_document_ids").alias("source_document_ids"),
+        united("source_chunk_ids").alias("source_chunk_ids"),
     )
+    whole = parts.groupBy("_key").agg(
+        F.min_by("first", "o").alias("first"),
+        F.min("kind").alias("kind"),
+        F.array_sort(F.collect_list(F.struct("o", "d"))).alias("texts"),
+        united("source_document_ids").alias("source_document_ids"),
+        united("source_chunk_ids").alias("source_chunk_ids"),
+    )
+    return whole.select("first.*", "kind.entity_type", join_descriptions(F.transform("texts", lambda x: x["d"])).alias("description"), "source_document_ids", "source_chunk_ids")
 
 
 def merge_entities(stored: DataFrame, batch: DataFrame, keep_type: bool = False) -> DataFrame:

@@ -360,7 +360,7 @@ def community_levels(spark, d):
 
 
 def community_summaries_made(spark, d):
-    found = communities.communities(graph.simple_graph(_relations(spark, d)), rounds=3, levels=1)
+    found = communities.communities(graph.simple_graph(_relations(spark, d)))
     return communities.extractive_summaries(communities.community_prompts(found, _once(spark, d, "entities", "entity_id"))).drop("summary_embedding")
 
 

@@ -353,6 +353,16 @@ def _hashed(forms: set[str]) -> set[int]:
     return {xxhash.xxh64_intdigest(f) - (1 << 63) for f in forms}
 
 
+def _join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A sort-merge join, whatever the planner takes for the size of a side.
+
+    It would take the size of compressed files for that of their rows, and forms
+    for as few as the names they are made of, and send what it thinks small
+    through the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def _words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{3,})"), 1))
 
@@ -371,12 +381,12 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     for _ in range(rounds):
         labels_now = labels.select("node", "label")
-        spread = both.join(labels_now.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
+        spread = _join(both, labels_now.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
         least = spread.unionByName(labels_now).groupBy("node").agg(F.min("label").alias("label"))
         jump = labels_now.select(F.col("node").alias("label"), F.col("label").alias("next"))
         old = labels_now.withColumnRenamed("label", "old")
-        step = least.join(jump, "label", "left").select("node", F.coalesce(F.least("label", "next"), "label").alias("label"))
-        moved = stage(step.join(old, "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
+        step = _join(least, jump, "label", "left").select("node", F.coalesce(F.least("label", "next"), "label").alias("label"))
+        moved = stage(_join(step, old, "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
         unstage(labels)
         labels = moved
         if moved.where("moved").isEmpty():
@@ -391,7 +401,7 @@ def _leads(forms: DataFrame) -> DataFrame:
 
 def _fit(tried: DataFrame, leads: DataFrame) -> DataFrame:
     """(id, key, to, n) of (id, key, form): the identity all forms of an id lead to; n is null if there is none."""
-    fitting = tried.join(leads, "form", "left").groupBy("id", "key").agg(F.min("to").alias("to"), F.max("to").alias("_to"), F.max("n").alias("n"))
+    fitting = _join(tried, leads, "form", "left").groupBy("id", "key").agg(F.min("to").alias("to"), F.max("to").alias("_to"), F.max("n").alias("n"))
     return fitting.select("id", "key", "to", F.when(F.col("to") < F.col("_to"), F.greatest("n", F.lit(2))).otherwise(F.col("n")).alias("n"))
 
 
@@ -415,7 +425,7 @@ def _mistypings(same: DataFrame, typo) -> DataFrame:
     near = stage(near.select("r", F.col("best.p").alias("p"), (F.size(F.filter("all", rival)) == 1).alias("clear")))
     level = directed.where("n_p = n_r").select(F.least("r", "p").alias("r"), F.greatest("r", "p").alias("p")).distinct()
     for c in ("r", "p"):
-        level = level.join(near.select(F.col("r").alias(c)), c, "left_anti")
+        level = _join(level, near.select(F.col("r").alias(c)), c, "left_anti")
     return near.where("clear").select(F.col("r").alias("a"), F.col("p").alias("b")).unionByName(level.select(F.col("r").alias("a"), F.col("p").alias("b")))
 
 
@@ -444,17 +454,18 @@ def identities(entities: DataFrame, nicknames: DataFrame, entity_id: str = "enti
 
     parsed = stage(_rows(typed.groupBy("name").agg(F.max("says_org")), read, "name string, key string, kind string, layer int"))
     # Names of other things: they look like people ("Lake X", "X cluster") or have a number.
-    foreign = parsed.where("kind = 'p' or layer = -1").select("name", F.explode(_words(F.col("name"))).alias("word")).join(other_words(rows, "name", "kind"), "word", "left_semi").select("name", F.lit(True).alias("foreign")).distinct()
-    sorted_out = parsed.join(foreign, "name", "left").select(
+    worded = parsed.where("kind = 'p' or layer = -1").select("name", F.explode(_words(F.col("name"))).alias("word"))
+    foreign = _join(worded, other_words(rows, "name", "kind"), "word", "left_semi").select("name", F.lit(True).alias("foreign")).distinct()
+    sorted_out = _join(parsed, foreign, "name", "left").select(
         "name", F.when(F.col("foreign") & (F.col("layer") >= 0), F.concat(F.lit("x|"), "key")).otherwise(F.col("key")).alias("key"),
         F.when(F.col("foreign"), "x").otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("foreign"), -1).otherwise(F.col("layer")).alias("layer"))
-    links = stage(typed.select("id", "name").join(sorted_out, "name").select("id", "key", "kind", "layer").distinct())
+    links = stage(_join(typed.select("id", "name"), sorted_out, "name").select("id", "key", "kind", "layer").distinct())
 
     # Layer 0: strong forms, checked pairwise by full words and by the rarity of the word that differs.
     whole = stage(links.where("layer = 0").select("key").distinct())
     forms = _rows(whole, lambda k: ((k, f) for f in _hashed(strong_forms(k))), "key string, form long")
-    pairs = forms.withColumnRenamed("key", "a").join(forms.withColumnRenamed("key", "b"), "form").where("a < b").select("a", "b").distinct()
+    pairs = _join(forms.withColumnRenamed("key", "a"), forms.withColumnRenamed("key", "b"), "form").where("a < b").select("a", "b").distinct()
 
     def check(a: str, b: str):
         if found := compare(a, b):
@@ -469,54 +480,55 @@ def identities(entities: DataFrame, nicknames: DataFrame, entity_id: str = "enti
     bearers = _rows(whole, lambda k: ((f"{k[0]}:{w}", rest) for w, rest in borne_words(k)), "word string, bearer string").distinct().groupBy("word").agg(F.count("*").alias("n"))
     u, v = (bearers.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")) for c in "uv")
     typo = lambda x, y: ~F.col(f"fixed_{x}") & _rare(F.col(f"n_{x}"), F.col(f"n_{y}"))
-    related = stage(checked.join(u, "u", "left").join(v, "v", "left").where(F.col("u").isNull() | typo("u", "v") | typo("v", "u")))
+    related = stage(_join(_join(checked, u, "u", "left"), v, "v", "left").where(F.col("u").isNull() | typo("u", "v") | typo("v", "u")))
     joined = _mistypings(related.where("how = 'same' and u is not null"), typo).unionByName(related.where("how = 'same' and u is null").select("a", "b"))
     # An entity's two names are one identity.
     own = links.where("layer = 0").groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    more = links.where("layer = 0").join(own.where("n > 2").select("id", "a"), "id").select("a", F.col("key").alias("b"))
+    more = _join(links.where("layer = 0"), own.where("n > 2").select("id", "a"), "id").select("a", F.col("key").alias("b"))
     labels = components(joined.unionByName(own.select("a", "b")).unionByName(more).where("a <> b"))
-    named = stage(whole.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label")))
+    named = stage(_join(whole, labels.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("label")))
 
     # Abbreviations, short given names and left-out middle names lead to the one identity they can mean.
     short = _rows(named, lambda k, label: ((label, f) for f in _hashed(short_forms(k, held.value[0]))), "label string, form long")
     full = _rows(named, lambda k, label: ((label, f) for f in _hashed(long_forms(k))), "to string, form long")
-    from_short = short.join(full, "form").select("label", "to")
+    from_short = _join(short, full, "form").select("label", "to")
     label = lambda c, to: named.select(F.col("key").alias(c), F.col("label").alias(to))
-    from_cut = related.where("how = 'abbr'").join(label("a", "label"), "a").join(label("b", "to"), "b").select("label", "to")
+    from_cut = _join(_join(related.where("how = 'abbr'"), label("a", "label"), "a"), label("b", "to"), "b").select("label", "to")
     meant = from_short.unionByName(from_cut).where("label <> to").distinct().groupBy("label").agg(F.min("to").alias("to"), F.count("*").alias("n"))
     meant = stage(meant)
-    agreeing = related.where("how = 'both'").join(label("a", "x"), "a").join(label("b", "y"), "b").select("x", "y").distinct()
+    agreeing = _join(_join(related.where("how = 'both'"), label("a", "x"), "a"), label("b", "y"), "b").select("x", "y").distinct()
     lost = meant.select("label")
-    agreeing = agreeing.join(lost.withColumnRenamed("label", "x"), "x", "left_anti").join(lost.withColumnRenamed("label", "y"), "y", "left_anti")
+    for c in ("x", "y"):
+        agreeing = _join(agreeing, lost.withColumnRenamed("label", c), c, "left_anti")
     labels = components(meant.where("n = 1").select(F.col("label").alias("a"), F.col("to").alias("b")).unionByName(agreeing.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    placed = named.join(labels.select(F.col("node").alias("label"), F.col("label").alias("identity")), "label", "left")
+    placed = _join(named, labels.select(F.col("node").alias("label"), F.col("label").alias("identity")), "label", "left")
     identity = stage(placed.select("key", F.coalesce("identity", "label").alias("identity")))
 
     # Entities with a whole name; then initials and acronyms; then single words.
-    done = links.where("layer = 0").join(identity, "key").groupBy("id").agg(F.min("identity").alias("identity"), F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
+    done = _join(links.where("layer = 0"), identity, "key").groupBy("id").agg(F.min("identity").alias("identity"), F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
     letters = F.split("key", "\\|")
     own = F.concat(F.lit("p|"), F.array_join(F.array_sort(F.slice(letters, 2, 2)), "|"))  # "Bo LI", an acronym of no organisation, is a person
     spoken = _rows(identity, lambda k, to: ((to, f) for f in _hashed(weak_forms(k))), "to string, form long")
     for layer in (1, 2):
-        open_ids = links.where(F.col("layer") == layer).join(done, "id", "left_anti")
+        open_ids = _join(links.where(F.col("layer") == layer), done, "id", "left_anti")
         kinds = open_ids.groupBy("id").agg(F.min("kind").alias("kind"))
         leads = _leads(spoken)
         fitted = stage(_fit(_rows(open_ids.select("id", "key"), lambda i, k: ((i, k, f) for f in _hashed(tried_forms(k))), "id string, key string, form long"), leads))
         # Those that fit nothing may be mistyped; they are few, so they are varied, not what they are compared with.
         unfit = fitted.groupBy("id").agg(F.max("n").alias("n")).where("n is null").select("id")
-        varied = _rows(fitted.join(unfit, "id").select("id", "key"), lambda i, k: ((i, k, f) for f in _hashed(mistyped_keys(k) | {k})), "id string, key string, form long")
+        varied = _rows(_join(fitted, unfit, "id").select("id", "key"), lambda i, k: ((i, k, f) for f in _hashed(mistyped_keys(k) | {k})), "id string, key string, form long")
         best = fitted.where("n is not null").unionByName(_fit(varied, leads))
         best = best.groupBy("id").agg(F.min("key").alias("key"), F.min("to").alias("to"), F.max("to").alias("_to"), F.max("n").alias("n"))
         n = F.when(F.col("to") < F.col("_to"), F.greatest("n", F.lit(2))).otherwise(F.coalesce("n", F.lit(1)))
         # Forms that lead nowhere are identities of their own, shared by the entities that have them.
         ends = F.when(F.col("key").startswith("a|"), own).otherwise(F.col("key"))
-        new = stage(best.join(kinds, "id").select("id", F.when(n == 1, F.coalesce("to", ends)).otherwise(F.col("key")).alias("identity"), "kind", (1 / n).alias("score"), F.col("to").isNull().alias("alone")))
+        new = stage(_join(best, kinds, "id").select("id", F.when(n == 1, F.coalesce("to", ends)).otherwise(F.col("key")).alias("identity"), "kind", (1 / n).alias("score"), F.col("to").isNull().alias("alone")))
         if layer == 1:
             alone = new.where("alone").select("identity").distinct()
             spoken = spoken.unionByName(_rows(alone, lambda k: ((k, f) for f in _hashed(weak_forms(k))), "to string, form long"))
         new = new.drop("alone")
         done = stage(done.unionByName(new))
-    rest = links.where("layer = -1").join(done, "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"), F.min("kind").alias("kind"))
+    rest = _join(links.where("layer = -1"), done, "id", "left_anti").groupBy("id").agg(F.min("key").alias("identity"), F.min("kind").alias("kind"))
     return done.unionByName(rest.withColumn("score", F.lit(1.0)))
 
 
@@ -524,4 +536,4 @@ def name_pairs(placed: DataFrame) -> DataFrame:
     """(entity_a, entity_b): pairs of ids of one person or organisation."""
     sure = placed.where((F.col("kind") != "x") & (F.col("score") == 1))
     a, b = sure.select("identity", F.col("id").alias("entity_a")), sure.select("identity", F.col("id").alias("entity_b"))
-    return a.join(b, "identity").where("entity_a < entity_b").select("entity_a", "entity_b").distinct()
+    return _join(a, b, "identity").where("entity_a < entity_b").select("entity_a", "entity_b").distinct()

@@ -96,3 +96,15 @@ def test_digits_and_types(spark):
     got = _identity(spark, ["Studio 54", "studio 54", "Studio 55"], kind="Organization")
     assert got["e0"].identity == got["e1"].identity != got["e2"].identity and got["e0"].kind == "o"
     assert _identity(spark, ["Studio 54"], kind="EVENT")["e0"].kind == "x"
+
+
+def test_no_table_of_names_is_sent_through_the_driver(spark):
+    rows = [(f"{g}{i}", n, None, "PERSON", "x", "y") for g, names in SAME.items() for i, n in enumerate(names)]
+    nick = spark.createDataFrame([("Toni", "Antonia")], "nickname string, given_name string")
+    plans = spark._jsparkSession.sharedState().statusStore()
+    before = plans.executionsCount()
+    assert name_pairs(identities(frame(spark, rows), nick)).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = plans.executionsList()
+    texts = [ran.apply(i).physicalPlanDescription() for i in range(ran.size()) if ran.apply(i).executionId() >= before]
+    assert any("SortMergeJoin" in t for t in texts) and not [t for t in texts if "Broadcast" in t]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
 from graphloom.functions.text import tokenize
+from graphloom.operators import blocks
 from graphloom.session import stage
 
 
@@ -75,6 +76,33 @@ def top_k(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _best(packed: DataFrame, stats: DataFrame, n: int, terms: DataFrame, k: int, s: Settings) -> DataFrame:
+    """:func:`blocks.word_hits` of packed postings over n blocks."""
+    frequency = packed.where("term is not null").groupBy("term").agg(F.sum(F.size("texts")).alias("df"))
+    idf = F.greatest(F.lit(0.0), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    weighted = terms.join(frequency, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("times") * idf).alias("weight"), "avgdl")  # stats is one row
+    return blocks.word_hits(packed, weighted, n, terms.select("query_id").distinct().count(), k, s.bm25_k1, s.bm25_b)
+
+
+def best_in_blocks(df: DataFrame, id_col: str, text: str, terms: DataFrame, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
+    """(query_id, matched, hits): for every query and block of texts the number of matching texts and the best k.
+
+    The scores are those of :func:`scores`, of every text that shares a word with the query.
+    """
+    n = blocks.block_count(df.count(), df.sparkSession.sparkContext.defaultParallelism)
+    texts = df.select(F.col(id_col).alias("id"), tokenize(F.col(text), stopwords).alias("tokens"))
+    packed = stage(blocks.pack_texts(texts, terms.select("term").distinct(), n))
+    rows = packed.where("term is null").select(F.explode(F.arrays_zip("texts", "tf")).alias("x")).select(F.col("x.texts").cast("long").alias("length"), F.col("x.tf").alias("rows"))
+    stats = rows.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("length") * F.col("rows")) / F.sum("rows"), F.lit(0.0)).alias("avgdl"))
+    return _best(packed, stats, n, terms, k, s)
+
+
+def match_counts(df: DataFrame, id_col: str, text: str, queries: DataFrame, query_id: str, query_text: str, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
+    """(query_id, hits, best): the number of texts that share a word with the query, and the best score; of queries with a hit."""
+    found = best_in_blocks(df, id_col, text, query_terms(queries, query_id, query_text, stopwords), 1, s, stopwords)
+    return found.groupBy("query_id").agg(F.sum("matched").alias("hits"), F.round(F.max(F.col("hits")[0]["score"]), 12).alias("best"))
+
+
 def search(df: DataFrame, id_col: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank)."""
     terms = query_terms(queries, query_id, query_text, stopwords)

@@ -50,8 +50,7 @@ def bm25_topk(spark, d):
 
 def bm25_match_counts(spark, d):
     docs, q = read_table(spark, d, "documents", spread=True), read_table(spark, d, "search_queries")
-    hits = bm25.scores(bm25.postings(docs, "doc_id", "text"), bm25.corpus_stats(docs, "text"), bm25.query_terms(q, "query_id", "query_text"))
-    return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
+    return bm25.match_counts(docs, "doc_id", "text", q, "query_id", "query_text").select("query_id", "hits", F.round("best", 6).alias("best"))
 
 
 def quality_metrics(spark, d):

@@ -105,8 +105,12 @@ def match_counts(df: DataFrame, id_col: str, text: str, queries: DataFrame, quer
 
 def search(df: DataFrame, id_col: str, text: str, queries: DataFrame, query_id: str, query_text: str, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:
     """(query_id, id, score, rank)."""
-    terms = query_terms(queries, query_id, query_text, stopwords)
-    return top_k(scores(*matching(df, id_col, text, terms, stopwords), terms, s), k)
+    return _ranked(best_in_blocks(df, id_col, text, query_terms(queries, query_id, query_text, stopwords), k, s, stopwords), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    hits = blocks.exploded(found).select("query_id", "id", F.round("score", 12).alias("score"))
+    return top_k(hits.where("score > 0"), k)
 
 
 def search_stored(index: DataFrame, chunks: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int, s: Settings = DEFAULTS, stopwords: list[str] | None = None) -> DataFrame:

@@ -41,3 +41,15 @@ def test_match_counts_without_pairs(spark, sizes):
     n = blocks.block_count(df.count(), spark.sparkContext.defaultParallelism)
     rows = bm25.best_in_blocks(df, "id", "text", bm25.query_terms(q, "qid", "text"), 1).collect()
     assert len(rows) <= n * len(want) and all(len(r.hits) == 1 for r in rows)
+
+
+def ranked(rows):
+    return sorted((r.query_id, r["rank"], r.id or "", round(r.score, 10)) for r in rows.collect())
+
+
+def test_search_without_pairs(spark, sizes):
+    df, q = texts(spark), asked(spark)
+    for k in (1, 4):
+        found = bm25.search(df, "id", "text", q, "qid", "text", k)
+        assert ranked(found) == ranked(bm25.top_k(by_pairs(df, q), k)) and found.count() > 10 * k
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()

@@ -10,6 +10,8 @@ from graphloom.functions.text import tokenize
 from graphloom.operators import blocks
 from graphloom.session import stage
 
+MOST_WORDS = 200_000  # query words that are sent to all workers, some 10 MB; more are joined by a shuffle
+
 
 def postings(df: DataFrame, id_col: str, text: str, stopwords: list[str] | None = None) -> DataFrame:
     """(id, term, tf, length): term counts, with the number of tokens of the text."""
@@ -118,5 +120,11 @@ def search_stored(index: DataFrame, chunks: DataFrame, queries: DataFrame, query
 
     The postings of the query words are all that is read where these lie sorted by word.
     """
-    terms = query_terms(queries, query_id, query_text, stopwords)
-    return top_k(scores(index, stored_stats(index, chunks), terms, s), k)
+    terms = stage(query_terms(queries, query_id, query_text, stopwords))
+    words = stage(terms.select("term").distinct())
+    if words.count() <= MOST_WORDS:
+        words = F.broadcast(words)
+    stats = stage(stored_stats(index, chunks))
+    n = blocks.block_count(stats.first().n, index.sparkSession.sparkContext.defaultParallelism)
+    packed = stage(blocks.pack_postings(index.join(words, "term", "left_semi"), n))
+    return _ranked(_best(packed, stats, n, terms, k, s), k)

@@ -14,17 +14,17 @@ from graphloom.operators import bm25, communities, entities, fusion, graph, look
 from graphloom.operators.chunking import chunk_documents
 from graphloom.operators.stats import corpus_counts, table_counts
 from graphloom.plans.search import Engine, Tables, vector_hits_all
-from graphloom.session import cut, ensure_checkpoint_dir, staging
+from graphloom.session import cut, ensure_checkpoint_dir, stage, staging
 from graphloom.sources.store import Store, merged
 from graphloom.sources.tables import read_table
 
 RELATION = ["source_entity_id", "target_entity_id", "relationship_type", "description", "weight"]
 
 
-def _once(spark: SparkSession, d: str, name: str, key: str, time: str = "ingested_at") -> DataFrame:
-    """The latest row of every key that is not null."""
+def _once(spark: SparkSession, d: str, name: str, key: str, time: str = "ingested_at", columns: list[str] | None = None) -> DataFrame:
+    """The latest row of every key that is not null; of its columns only those named, if any are."""
     df = read_table(spark, d, name).where(F.col(key).isNotNull())
-    row = F.struct(*[c for c in df.columns if c != key])
+    row = F.struct(*[c for c in df.columns if c != key and (columns is None or c in columns)])
     return df.groupBy(key).agg(F.max_by(row, time).alias("_r")).select(key, "_r.*")
 
 
@@ -158,10 +158,10 @@ def _summaries(spark, d):
 
 def _engine(spark, d, stored: bool) -> Engine:
     """The engine over the test tables, with stored postings or without."""
-    chunks = _once(spark, d, "chunks", "chunk_id")
-    t = Tables(chunks.select("chunk_id", "text"), chunks.select("chunk_id", "embedding"), _once(spark, d, "entities", "entity_id"), _relations(spark, d))
+    texts, vectors_ = (_once(spark, d, "chunks", "chunk_id", columns=[c]) for c in ("text", "embedding"))
+    t = Tables(texts, vectors_, _once(spark, d, "entities", "entity_id"), _relations(spark, d))
     if stored:
-        t.postings = bm25.postings(t.chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+        t.postings = stage(bm25.postings(t.chunks, "chunk_id", "text").withColumnRenamed("id", "chunk_id"))
     return Engine(t)
 
 

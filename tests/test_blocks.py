@@ -53,3 +53,12 @@ def test_search_without_pairs(spark, sizes):
         found = bm25.search(df, "id", "text", q, "qid", "text", k)
         assert ranked(found) == ranked(bm25.top_k(by_pairs(df, q), k)) and found.count() > 10 * k
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_search_of_stored_postings_without_pairs(spark, sizes):
+    df, q = texts(spark), asked(spark)
+    found = bm25.search_stored(bm25.postings(df, "id", "text"), df, q, "qid", "text", 3)
+    index = bm25.postings(df, "id", "text")
+    want = bm25.top_k(bm25.scores(index, bm25.stored_stats(index, df), bm25.query_terms(q, "qid", "text")), 3)
+    assert ranked(found) == ranked(want) and found.count() > 30
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()

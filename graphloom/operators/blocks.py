@@ -220,3 +220,104 @@ def word_hits(packed: DataFrame, asked: DataFrame, blocks: int, queries: int, k:
 def exploded(found: DataFrame) -> DataFrame:
     """(query_id, id, score) of lists of hits, brought together by query while they are lists."""
     return found.select("query_id", "hits").repartition("query_id").select("query_id", F.explode("hits").alias("h")).select("query_id", "h.id", "h.score")
+
+
+# ------------------------------------------------------------ vectors
+
+
+def _matrix(vectors: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, rows, vectors as doubles) for each width, of vectors without null elements that are finite."""
+    widths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    out = []
+    for width in np.unique(widths[widths > 0]):
+        rows = np.flatnonzero(widths == width)
+        flat = vectors.take(pa.array(rows)).flatten()
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, width).all(axis=1)
+        m = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+        good = whole & np.isfinite(m).all(axis=1)
+        out.append((int(width), rows[good], m[good]))
+    return out
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, added up from the first element to the last as ``vectors.dot`` does."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total = total + a[:, i] * b[:, i]
+    return total
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all vectors of ``a``: (row of a, row of b, cosine) of pairs that have the best k of each among them.
+
+    A product of unit vectors proposes all pairs within its error; their cosine is that of ``vectors.cosine``.
+    """
+    with np.errstate(all="ignore"):
+        size_a, size_b = _dot(a, a), _dot(b, b)
+        row_a, row_b = np.flatnonzero(size_a > 0), np.flatnonzero(size_b > 0)  # others have no cosine
+        a, b, size_a, size_b = a[row_a], b[row_b], size_a[row_a], size_b[row_b]
+        # Of sizes whose product may leave the range of doubles every pair is proposed.
+        odd_a, odd_b = (~((s > 1e-140) & (s < 1e140)) for s in (size_a, size_b))
+        unit_a, unit_b = (m / np.sqrt(np.where(odd, 1, s))[:, None] * ~odd[:, None] for m, s, odd in ((a, size_a, odd_a), (b, size_b, odd_b)))
+        out = [(np.array([], int), np.array([], int), np.array([]))]
+        for lo in range(0, len(a), SLICE):
+            part = unit_a[lo : lo + SLICE]
+            least, own = np.full(len(part), -2.0), [(np.array([], int), np.array([], int), np.array([]))]
+            for start in range(0, len(b), TILE):
+                odd = odd_b[start : start + TILE]
+                near = part @ unit_b[start : start + TILE].T
+                near[:, odd] = -np.inf
+                # Maxima of stripes bound the k-th best from below, as many stripes as hits are wanted.
+                width = max(1, min(STRIPE, near.shape[1] // (2 * k)))
+                tops = near[:, : near.shape[1] // width * width].reshape(len(near), -1, width).max(axis=2)
+                if tops.shape[1] >= k:
+                    least = np.maximum(least, np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k])
+                    least[odd_a[lo : lo + SLICE]] = -2.0
+                near[:, odd] = np.inf
+                i, j = np.nonzero(near >= (least - NEAR)[:, None])
+                own.append((i, j + start, near[i, j]))
+            i, j, near = (np.concatenate(x) for x in zip(*own))
+            kept = near >= least[i] - NEAR
+            i, j = i[kept] + lo, j[kept]
+            for x in range(0, len(i), ROWS):
+                m, n = i[x : x + ROWS], j[x : x + ROWS]
+                cosine = _dot(a[m], b[n]) / np.sqrt(size_a[m] * size_b[n])
+                real = np.abs(cosine) <= 2
+                out.append((row_a[m[real]], row_b[n[real]], cosine[real]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def vector_lists(embeddings: DataFrame, queries: DataFrame, records: int, asked: int, k: int) -> DataFrame:
+    """(query_id, hits): for every query vector in every block of embeddings (id, embedding) the best k as
+    (id, score), by the cosine and the smaller id. ``records`` and ``asked`` are their numbers."""
+    n, q = block_count(records, embeddings.sparkSession.sparkContext.defaultParallelism), max(1, -(-asked // ASKED))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kind = left.schema.field("id").type
+        hits_type = pa.list_(pa.struct([("id", kind), ("score", pa.float64())]))
+        schema = pa.schema([("query_id", right.schema.field("query_id").type), ("hits", hits_type)])
+        if not left.num_rows or not right.num_rows:
+            return _none(schema)
+        ids, names = _whole(left["id"]), _whole(right["query_id"])
+        place = _ranks(ids)[0]
+        records, out = _matrix(_whole(left["embedding"])), []
+        for width, rows, a in _matrix(_whole(right["vector"])):
+            for other, known, b in records:
+                if other == width:
+                    i, j, score = _nearest(a, b, k)
+                    order = np.lexsort((place[known[j]], -score, i))
+                    i, j, score = i[order], known[j[order]], score[order]
+                    first = np.flatnonzero(np.diff(i, prepend=-1))
+                    nth = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+                    out.append((rows[i[nth < k]], j[nth < k], score[nth < k]))
+        if not sum(len(x[0]) for x in out):
+            return _none(schema)
+        query, record, score = (np.concatenate(x) for x in zip(*out))
+        first = np.flatnonzero(np.diff(query, prepend=-1))
+        pairs = pa.StructArray.from_arrays([ids.take(pa.array(record)), pa.array(score)], fields=list(hits_type.value_type))
+        hits = pa.ListArray.from_arrays(pa.array(np.append(first, len(query)), pa.int32()), pairs)
+        return pa.table([names.take(pa.array(query[first])), hits.cast(hits_type)], schema=schema)
+
+    left = _everywhere(embeddings.select("id", "embedding").withColumn("block", _block("id", n)), "part", q)
+    right = _everywhere(queries.select("query_id", "vector").withColumn("part", _block("query_id", q)), "block", n)
+    return _meet(left, right, ["block", "part"], n * q, run, f"query_id {_type(queries, 'query_id')}, hits array<struct<id: {_type(embeddings, 'id')}, score: double>>")

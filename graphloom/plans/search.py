@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Settings
-from graphloom.operators import bm25, fusion, graph, lookup
+from graphloom.operators import blocks, bm25, fusion, graph, lookup
 from graphloom.operators.vector_index import indexed_hits
 from graphloom.operators.vectors import cosine
 from graphloom.session import stage
@@ -25,6 +25,8 @@ CONNECTIONS, THEMATIC, KEYWORD = "find_connections", "explore_thematic", "keywor
 COMMUNITIES = "communities"
 MODES = {"entity_connections": CONNECTIONS, "thematic_overview": THEMATIC, "keyword_lookup": KEYWORD, "connections": CONNECTIONS, "thematic": THEMATIC, "keyword": KEYWORD}
 
+FEW_PAIRS = 1_000_000  # vectors compared by expressions; more are worth a shuffle
+
 
 @dataclass
 class Tables:
@@ -191,16 +193,10 @@ def vector_hits(embeddings: DataFrame, queries: DataFrame, k: int, most_queries:
 
 
 def vector_hits_all(embeddings: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """:func:`vector_hits` for any number of queries, in blocks of at most ``block``, each against all vectors."""
+    """:func:`vector_hits` for any number of queries: up to ``block`` by one scan if the pairs are few, else block against block."""
     asked = queries.select("query_id", "vector")
-    n = asked.count()
-    if n <= block:
+    n, records = asked.count(), embeddings.count()
+    if n <= block and n * records <= FEW_PAIRS:
         return vector_hits(embeddings, asked, k, block)
-    at = F.monotonically_increasing_id()  # the partition above bit 33, the row within it below
-    placed = stage(asked.repartition(n // block + 1).withColumn("at", at).withColumn("block", F.struct(F.shiftright("at", 33).alias("part"), F.floor(F.col("at") % (1 << 33) / block).alias("nth"))))
-    found = None
-    for b in sorted(r.block for r in placed.select("block").distinct().collect()):
-        own = placed.where((F.col("block.part") == b.part) & (F.col("block.nth") == b.nth))
-        hits = vector_hits(embeddings, own, k, block)
-        found = hits if found is None else found.unionByName(hits)
-    return bm25.top_k(found, k).drop("rank")  # vectors of one query id may be in several blocks
+    known = embeddings.select(F.col("chunk_id").alias("id"), "embedding")
+    return bm25.top_k(blocks.exploded(blocks.vector_lists(known, asked, records, n, k)), k).drop("rank")

@@ -3,7 +3,8 @@
 import random
 
 import pytest
-from graphloom.operators import blocks, bm25
+from graphloom.operators import blocks, bm25, vectors
+from graphloom.plans import search
 from pyspark.sql import functions as F
 
 WORDS = "harbour survey ledger canal ridge view steep relay orchard plateau 漢".split()
@@ -62,3 +63,18 @@ def test_search_of_stored_postings_without_pairs(spark, sizes):
     want = bm25.top_k(bm25.scores(index, bm25.stored_stats(index, df), bm25.query_terms(q, "qid", "text")), 3)
     assert ranked(found) == ranked(want) and found.count() > 30
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+
+
+def test_vectors_without_pairs(spark, sizes, monkeypatch):
+    """Copies, vectors without a cosine, of other widths and of extreme size, query ids with several vectors."""
+    monkeypatch.setattr(search, "FEW_PAIRS", 0)
+    rng = random.Random(7)
+    some = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(30)]
+    odd = [None, [0.0] * 5, [], [1.0, 2.0], [float("nan")] * 5, [1.0, None, 1.0, 1.0, 1.0], [float("inf"), 0.0, 0.0, 0.0, 1.0]]
+    for huge in ([], [[1e150] * 5, [1e-150, 0.0, 0.0, 0.0, 0.0]]):
+        e = spark.createDataFrame([(f"v{i:02d}", v) for i, v in enumerate(some + odd + some[:9] + huge)], "chunk_id string, embedding array<double>")
+        q = spark.createDataFrame([(i % 14, v) for i, v in enumerate(some[:15] + odd + huge + [[3.0, 1.0]])], "query_id int, vector array<double>")
+        pairs = e.select(F.col("chunk_id").alias("id"), "embedding").crossJoin(q).select("query_id", "id", vectors.cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null")
+        found = search.vector_hits_all(e, q, 4)
+        assert sorted(map(tuple, found.collect())) == sorted((r.query_id, r.id, r.score) for r in bm25.top_k(pairs, 4).collect())
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
